@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mosaica.llm import bpe, token_files
+from pyspark.sql import functions as F
+
+from mosaica.llm import bpe, langid, token_files
 from mosaica.llm.common import scratch_dir, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -25,9 +27,17 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op8_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs, ~langid.held_out() & F.col("doc_id").isNotNull())
+    return langid.predict(docs.select("doc_id", langid.held_out().alias("held_out"), "text"), model)
+
+
 QUERIES = {
     "op6_orc_tokens": op6_orc_tokens,
     "op7_bpe_round_trip": op7_bpe_round_trip,
+    "op8_language_kernel": op8_language_kernel,
 }
 
 #: SQL that gives the same rows, where SQL can.
