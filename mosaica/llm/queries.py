@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from mosaica.llm import bpe, langid, token_files
+from mosaica.llm import bpe, langid, licenses, token_files, warc
 from mosaica.llm.common import scratch_dir, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -15,6 +15,11 @@ WORD_BPE = "word_bpe_49k.json"
 END_ID = 2
 
 
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of all pages, taken as WARC responses."""
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+
+
 def op6_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written as ORC and read back."""
     path = scratch_dir(spark)
@@ -34,11 +39,22 @@ def op8_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", langid.held_out().alias("held_out"), "text"), model)
 
 
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents, as files ``source/lang/doc-id``; a directory's first licensed file speaks for it."""
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.concat(F.lit("doc-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text"), licence_file=F.lit(True))
+
+
 QUERIES = {
+    "op4_warc_derivatives": op4_warc_derivatives,
     "op6_orc_tokens": op6_orc_tokens,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_language_kernel": op8_language_kernel,
+    "op9_licence_scan": op9_licence_scan,
 }
 
 #: SQL that gives the same rows, where SQL can.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_warc_derivatives": warc.oracle(),
+    "op9_licence_scan": licenses.oracle("SELECT doc_id, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/doc-' || coalesce(doc_id::VARCHAR, '') AS path, text FROM documents"),
+}
