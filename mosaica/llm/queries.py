@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from mosaica.llm import bpe, langid, licenses, token_files, warc
+from mosaica.llm import bpe, langid, licenses, quality, token_files, warc
 from mosaica.llm.common import scratch_dir, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -20,6 +20,11 @@ def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
 
 
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the quality models draw."""
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "log_weight", "gumbel_key")
+
+
 def op6_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written as ORC and read back."""
     path = scratch_dir(spark)
@@ -47,6 +52,7 @@ def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_warc_derivatives": op4_warc_derivatives,
+    "op5_importance_resampling": op5_importance_resampling,
     "op6_orc_tokens": op6_orc_tokens,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_language_kernel": op8_language_kernel,
