@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from mosaica.llm import bpe, langid, licenses, quality, token_files, warc
+from mosaica.llm import ann, bpe, langid, licenses, quality, token_files, warc
 from mosaica.llm.common import scratch_dir, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -50,6 +50,12 @@ def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text"), licence_file=F.lit(True))
 
 
+def op10_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector whose id is divisible by 20, among all."""
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.search(rows, rows.where(F.pmod("vec_id", F.lit(20)) == 0))
+
+
 QUERIES = {
     "op4_warc_derivatives": op4_warc_derivatives,
     "op5_importance_resampling": op5_importance_resampling,
@@ -57,6 +63,7 @@ QUERIES = {
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_language_kernel": op8_language_kernel,
     "op9_licence_scan": op9_licence_scan,
+    "op10_additive_quantisation": op10_additive_quantisation,
 }
 
 #: SQL that gives the same rows, where SQL can.
