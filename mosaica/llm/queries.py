@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from mosaica.llm import ann, bpe, langid, licenses, quality, token_files, warc
+from mosaica.llm import ann, bpe, decontaminate, langid, licenses, quality, token_files, warc
 from mosaica.llm.common import scratch_dir, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -15,6 +15,11 @@ WORD_BPE = "word_bpe_49k.json"
 END_ID = 2
 
 
+def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items that they hold, verbatim or with other values."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata and conversion records of all pages, taken as WARC responses."""
     return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
@@ -57,6 +62,7 @@ def op10_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_template_decontamination": op1_template_decontamination,
     "op4_warc_derivatives": op4_warc_derivatives,
     "op5_importance_resampling": op5_importance_resampling,
     "op6_orc_tokens": op6_orc_tokens,
@@ -68,6 +74,7 @@ QUERIES = {
 
 #: SQL that gives the same rows, where SQL can.
 ORACLE: dict[str, str] = {
+    "op1_template_decontamination": decontaminate.oracle(),
     "op4_warc_derivatives": warc.oracle(),
     "op9_licence_scan": licenses.oracle("SELECT doc_id, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/doc-' || coalesce(doc_id::VARCHAR, '') AS path, text FROM documents"),
 }
