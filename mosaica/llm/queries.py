@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from mosaica.llm import ann, bpe, decontaminate, jaccard, langid, licenses, quality, token_files, warc
+from mosaica.llm import ann, bpe, decontaminate, jaccard, langid, licenses, quality, suffixes, token_files, warc
 from mosaica.llm.common import scratch_dir, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -20,6 +20,11 @@ def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op2_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that documents share, and where each stays."""
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle set sizes and near-duplicate components of all documents."""
     return jaccard.join_components(table(spark, sf_dir, "documents"))
@@ -68,6 +73,7 @@ def op10_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_template_decontamination": op1_template_decontamination,
+    "op2_sparse_suffixes": op2_sparse_suffixes,
     "op3_jaccard_components": op3_jaccard_components,
     "op4_warc_derivatives": op4_warc_derivatives,
     "op5_importance_resampling": op5_importance_resampling,
