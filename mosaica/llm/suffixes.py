@@ -3,8 +3,9 @@
 Suffixes are retained at content-selected positions: of every ``WINDOW`` neighbouring runs of ``KEY`` words the one with the least
 hash.  Two equal passages of ``MIN_WORDS = WINDOW + KEY - 1`` words hold a common position with its whole run.  Suffixes
 whose run occurs in one document only are dropped; the rest are sorted by run, then by the words to the right, to
-the left, then by document, and each is compared with its neighbours of other documents (and the first of
-its equals with the first of the next kind).  A match is extended left and right word by word; from
+the left, then by document, and each is compared with its neighbours of other documents, with
+the earliest document of the stretch around it in which each suffix matches the next, and the first of its equals with
+the first of the next kind.  A match is extended left and right word by word; from
 ``MIN_WORDS`` words on it is a repeat.  Of two matching places the one in the earlier document (by id, then position)
 keeps the passage, so every passage that is cut somewhere stays somewhere.
 
@@ -128,7 +129,16 @@ def neighbours(rows: pa.Table) -> tuple[pa.RecordBatch, np.ndarray]:
     begin = np.maximum.accumulate(np.where(new_node, index, 0))  # of the row's stretch of one document
     after = np.minimum.accumulate(np.where(np.concatenate([new_node[1:], [True]]), index, n)[::-1])[::-1] + 1
     heads = np.flatnonzero(new_kind)
-    pairs = [(index, begin - 1), (index, after), (heads[1:], heads[:-1]), (heads[:-1], heads[1:])]
+    # stretches in which each row matches the next, and their earliest rows: before, behind and anywhere
+    joined = (~new_key[1:]) & (common(left[1:], left[:-1]) + KEY + common(right[1:], right[:-1]) >= MIN_WORDS)
+    stretch = np.concatenate([np.zeros(min(n, 1), np.int64), np.cumsum(~joined)])
+    by_age = np.lexsort((pos, node, doc))
+    age = np.empty(n, np.int64)
+    age[by_age] = index
+    before = by_age[np.minimum.accumulate(age + (n - stretch) * n) % n] if n else index
+    behind = by_age[np.minimum.accumulate((age + stretch * n)[::-1])[::-1] % n] if n else index
+    earliest = np.where(age[before] < age[behind], before, behind)
+    pairs = [(index, begin - 1), (index, after), (heads[1:], heads[:-1]), (heads[:-1], heads[1:]), (index, before), (index, behind), (index, earliest)]
     spans: list[np.ndarray] = []
     for x, y in pairs:
         fine = (y >= 0) & (y < n)
@@ -143,7 +153,7 @@ def neighbours(rows: pa.Table) -> tuple[pa.RecordBatch, np.ndarray]:
     found = np.unique(np.concatenate(spans, axis=1), axis=1) if n else np.zeros((5, 0), np.int64)
     batch = pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1].astype(np.int32)), pa.array(found[2].astype(np.int32)), pa.array(found[3].astype(bool)), pa.array(found[4])], ["node", "start", "end", "removed", "other"])
     stretches = np.flatnonzero(new_node)
-    ends = {0, n - 1, *stretches[1:2], heads[-1], *heads[1:2], max(0, stretches[-1] - 1)} if n else set()
+    ends = {0, n - 1, *stretches[1:2], heads[-1], *heads[1:2], max(0, stretches[-1] - 1), earliest[0], earliest[-1]} if n else set()
     return batch, np.array(sorted(ends), np.int64)
 
 
