@@ -111,15 +111,16 @@ def keys_of(own: np.ndarray, level: np.ndarray, boundary: int, percent: int) ->
 
 
 def describe(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, h1, h2, n, text): a 128-bit hash of each text's set, and its size."""
+    """(row struct of all columns, text, h1, h2, n): a 128-bit hash of each text's set, and its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(each(batch.column(1).to_pylist(), width))
             h = [np.array([f(s).sum(dtype=np.uint64) for s in sets], np.uint64) for f in (lambda s: mix(s + np.uint64(1)), lambda s: mix(s ^ np.uint64(0x5DEECE66D1234567)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(signed(x)) for x in h), pa.array([len(s) for s in sets], pa.int64()), batch.column(1)], ["doc_id", "h1", "h2", "n", "text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(signed(x)) for x in h), pa.array([len(s) for s in sets], pa.int64())], ["row", "text", "h1", "h2", "n"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, h1 long, h2 long, n long, text string")
+    rest = F.struct(*(F.col(c) for c in docs.columns if c != "text"))
+    return docs.select(rest.alias("row"), "text").mapInArrow(run, docs.select(rest.alias("row"), F.col("text").cast("string").alias("text"), F.lit(None).cast("long").alias("h1"), F.lit(None).cast("long").alias("h2"), F.lit(None).cast("long").alias("n")).schema)
 
 
 def frequency_levels(nodes: DataFrame, width: int) -> np.ndarray:
@@ -268,11 +269,13 @@ def label(rows: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(components(links), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
 
 
-def join_components(docs: DataFrame, percent: int = 85, width: int = 4) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document."""
-    described = save(describe(docs, width))
-    sets = described.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("first_id"), F.first("text").alias("text"))
-    nodes = save(sets.withColumn("node", F.monotonically_increasing_id()))
+def cluster(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The described documents, the nodes (different sets, each with its first document), and (node, root)."""
+    described = describe(docs, width)
+    doc_id = F.col("row.doc_id").cast("long")
+    first = F.min_by(F.struct("row", "text"), F.struct(doc_id.isNull(), doc_id, F.xxhash64("row", "text")))
+    sets = described.where("n > 0").groupBy("h1", "h2", "n").agg(F.min(doc_id).alias("first_id"), first.alias("first"))
+    nodes = save(sets.select("h1", "h2", "n", "first_id", "first.row", "first.text", F.monotonically_increasing_id().alias("node")))
     table = frequency_levels(nodes, width)
     posted = save(postings(nodes, table, width, percent))
     centre = F.max(F.struct("score", (-F.col("node")).alias("node")))
@@ -288,11 +291,25 @@ def join_components(docs: DataFrame, percent: int = 85, width: int = 4) -> DataF
     several = per.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("size", "comp")).alias("big")).where("comps > 1").select("key", F.col("big.comp").alias("largest"))
     open_lists = save(labelled.join(several, "key").withColumn("main", F.col("comp") == F.col("largest")).select("key", "node", "comp", "main"))
     more = save(blockwise(open_lists, nodes, width, percent).distinct())
-
     roots = components(links.unionAll(more))
-    named = nodes.select("node", "h1", "h2", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return described, nodes, nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def join_components(docs: DataFrame, percent: int = 85, width: int = 4) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document."""
+    described, nodes, roots = cluster(docs.select("doc_id", "text"), percent, width)
+    named = nodes.select("node", "h1", "h2", "first_id").join(roots, "node")
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_set = named.join(smallest, "root").select("h1", "h2", "component_id")
-    own = described.select("doc_id", "h1", "h2", "n")
+    own = described.select(F.col("row.doc_id").cast("long").alias("doc_id"), "h1", "h2", "n")
     out = own.join(of_set, ["h1", "h2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def deduplicate(docs: DataFrame, percent: int = 85, width: int = 4) -> DataFrame:
+    """One document of each component: that of the smallest id (null ids last); texts without words all stay."""
+    described, nodes, roots = cluster(docs, percent, width)
+    age = F.struct(F.col("first_id").isNull(), F.col("first_id"), F.col("node"))
+    keep = nodes.select("node", "first_id").join(roots, "node").groupBy("root").agg(F.min_by("node", age).alias("node")).select("node")
+    kept = nodes.join(keep, "node", "left_semi").select("row", "text").unionAll(described.where("n = 0").select("row", "text"))
+    return kept.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
