@@ -1,4 +1,276 @@
-"""Queries by name, and the SQL that gives the same rows."""
+"""Queries by name, and the DuckDB SQL that gives the same rows.
 
+Query text and points are written once and used on both sides.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mosaica.functions.analysis import STOPWORDS, terms, words
+from mosaica.operators import relational as rel
+from mosaica.operators import similarity, spatial, text
+from mosaica.sources.csv import clean
+
+TEXT_QUERY = "the thorer of ention and hetion"
+MATCH_QUERY = "the with thand was"
+POINT = (0.05, -0.02)
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- scans, predicates, pages
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def scan_project(spark, d):
+    return rel.project(read(spark, d, "orders"), ["o_orderkey", "o_custkey", "o_totalprice"])
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100")
+def list_page(spark, d):
+    return rel.page(read(spark, d, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderkey"], 50, 100)
+
+
+def selected(spark, d, table, columns, where):
+    df = read(spark, d, table)
+    return df.where(where(df)).select(*columns)
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = 77")
+def point_lookup_int(spark, d):
+    return selected(spark, d, "orders", ["o_orderkey", "o_custkey"], lambda df: rel.equals(df, "o_orderkey", 77))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING'")
+def point_lookup_str(spark, d):
+    return selected(spark, d, "customer", ["c_custkey", "c_name"], lambda df: rel.equals(df, "c_mktsegment", "BUILDING"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey BETWEEN 27 AND 45")
+def range_int(spark, d):
+    return selected(spark, d, "orders", ["o_orderkey", "o_totalprice"], lambda df: rel.between(df, "o_custkey", 26.5, 45))
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal BETWEEN 100.5 AND 900.25")
+def range_float(spark, d):
+    return selected(spark, d, "customer", ["c_custkey", "c_acctbal"], lambda df: rel.between(df, "c_acctbal", "100,5", 900.25))
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1995-02-01' AND DATE '1995-02-28'")
+def range_date(spark, d):
+    df = read(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    return df.where(rel.between(df, "day", "1995-02-01", "1995-02-28"))
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment BETWEEN 'B' AND 'G'")
+def range_str(spark, d):
+    return selected(spark, d, "customer", ["c_custkey", "c_mktsegment"], lambda df: rel.between(df, "c_mktsegment", "B", "G"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey BETWEEN 45 AND 26")
+def range_reversed(spark, d):
+    return selected(spark, d, "orders", ["o_orderkey"], lambda df: rel.between(df, "o_custkey", 45, 26))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity < 10 AND l_discount >= 0.05 AND l_returnflag <> 'R'")
+def compare_ops(spark, d):
+    return selected(spark, d, "lineitem", ["l_orderkey", "l_linenumber"], lambda df: rel.compare(df, "l_quantity", "<", 10) & rel.compare(df, "l_discount", ">=", 0.05) & rel.compare(df, "l_returnflag", "<>", "R"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+def limit_topk(spark, d):
+    return read(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10)
+
+
+# ---- points
+
+_V = "CAST(embedding AS DOUBLE[])"
+_D2 = f"sqrt(({_V}[1] - {POINT[0]}) * ({_V}[1] - {POINT[0]}) + ({_V}[2] - {POINT[1]}) * ({_V}[2] - {POINT[1]}))"
+
+
+@query("SELECT e.vec_id, e.label FROM embeddings e WHERE e.embedding = (SELECT embedding FROM embeddings WHERE vec_id = 7)")
+def array_exact(spark, d):
+    df = read(spark, d, "embeddings")
+    point = df.where("vec_id = 7").first()
+    return df.where(rel.equals(df, "embedding", point.embedding)).select("vec_id", "label")
+
+
+@query(f"SELECT vec_id, label FROM embeddings WHERE {_D2} <= 0.1")
+def near_radius(spark, d):
+    return spatial.near(read(spark, d, "embeddings"), "embedding", POINT, 0.1, dims=2).select("vec_id", "label")
+
+
+@query(f"SELECT vec_id, round({_D2}, 6) AS distance FROM embeddings ORDER BY distance, vec_id LIMIT 8")
+def knn_2d(spark, d):
+    return spatial.knn(read(spark, d, "embeddings"), "embedding", POINT, 8, "vec_id", dims=2).select("vec_id", "distance")
+
+
+@query(f"SELECT vec_id, round(list_distance({_V}, (SELECT {_V} FROM embeddings WHERE vec_id = 3)), 6) AS distance FROM embeddings ORDER BY distance, vec_id LIMIT 10")
+def knn_64d(spark, d):
+    df = read(spark, d, "embeddings")
+    return spatial.knn(df, "embedding", df.where("vec_id = 3").first().embedding, 10, "vec_id").select("vec_id", "distance")
+
+
+# ---- text
+
+_STOP = ", ".join(f"'{w}'" for w in sorted(set(STOPWORDS)))
+
+
+def _terms(table: str, key: str, column: str, stop: bool = True, stem: bool = True) -> str:
+    """SQL of (key, term), a row a word."""
+    word = "rtrim(w, 's')" if stem else "w"
+    return f"SELECT {key}, {word} AS term FROM (SELECT {key}, unnest(regexp_extract_all(lower(strip_accents({column})), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM {table}) WHERE length(w) > 1" + (f" AND w NOT IN ({_STOP})" if stop else "")
+
+
+def _index(table: str, key: str, column: str) -> str:
+    return f"""t AS ({_terms(table, key, column)}), p AS (SELECT {key}, term, count(*) AS tf FROM t GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY ALL),
+n AS (SELECT count(*) AS n FROM {table} WHERE {column} IS NOT NULL), w AS (SELECT {key}, term, (1 + ln(tf)) * ln((n + 1) / df) AS w FROM p JOIN f USING (term), n), m AS (SELECT {key}, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL)"""
+
+
+def _ranked(table: str, key: str, column: str, asked: str, k: int) -> str:
+    return f"""WITH {_index(table, key, column)}, a AS (SELECT '{asked}' AS q, 1 AS i), qt AS ({_terms("a", "i", "q")}), qp AS (SELECT term, count(*) AS tf FROM qt GROUP BY ALL),
+q AS (SELECT term, (1 + ln(tf)) * ln((n + 1) / df) AS qw FROM qp JOIN f USING (term), n)
+SELECT {key}, round(sum(w * qw) / any_value(norm) / (SELECT sqrt(sum(qw * qw)) FROM q), 6) AS score FROM w JOIN q USING (term) JOIN m USING ({key}) WHERE norm > 0 GROUP BY {key} ORDER BY score DESC, {key} LIMIT {k}"""
+
+
+@query(f"SELECT term, count(*) AS n FROM ({_terms('documents', 'doc_id', 'text', stem=False)}) GROUP BY term")
+def tokenize_terms(spark, d):
+    return read(spark, d, "documents").select(F.explode(words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT term, count(*) AS n FROM ({_terms('documents', 'doc_id', 'text')}) GROUP BY term")
+def stem_light(spark, d):
+    return read(spark, d, "documents").select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_index('documents', 'doc_id', 'text')} SELECT doc_id, term, tf FROM p")
+def term_postings(spark, d):
+    return text.postings(read(spark, d, "documents"), "doc_id", "text")
+
+
+@query(f"WITH {_index('documents', 'doc_id', 'text')} SELECT term, df FROM f")
+def doc_freq(spark, d):
+    return text.document_frequency(text.postings(read(spark, d, "documents"), "doc_id", "text"))
+
+
+@query(f"WITH {_index('documents', 'doc_id', 'text')} SELECT doc_id, round(norm, 6) AS norm FROM m")
+def doc_norms(spark, d):
+    return text.build(read(spark, d, "documents"), "doc_id", "text").norms.select("doc_id", F.round("norm", 6).alias("norm"))
+
+
+@query(f"WITH a AS (SELECT '{TEXT_QUERY}' AS q, 1 AS i), qt AS ({_terms('a', 'i', 'q')}), t AS ({_terms('documents', 'doc_id', 'text')}) SELECT doc_id FROM t WHERE term IN (SELECT term FROM qt) GROUP BY doc_id HAVING count(DISTINCT term) = (SELECT count(DISTINCT term) FROM qt)")
+def text_match_all(spark, d):
+    return text.match_all(read(spark, d, "documents"), "text", TEXT_QUERY).select("doc_id")
+
+
+@query(_ranked("documents", "doc_id", "text", TEXT_QUERY, 10))
+def text_topk(spark, d):
+    return text.search(text.build(read(spark, d, "documents"), "doc_id", "text"), TEXT_QUERY, 10)
+
+
+@query(_ranked("(SELECT page_id, concat_ws(' ', url, html) AS body FROM pages)", "page_id", "body", "casino the reer", 10))
+def text_topk_multicol(spark, d):
+    pages = read(spark, d, "pages").select("page_id", text.joined(["url", "html"]).alias("body"))
+    return text.search(text.build(pages, "page_id", "body"), "casino the reer", 10)
+
+
+@query(f"""WITH {_index('documents', 'doc_id', 'text')}, qp AS (SELECT item_id, term, count(*) AS tf FROM ({_terms('benchmark', 'item_id', 'text')}) GROUP BY ALL),
+q AS (SELECT item_id, term, (1 + ln(tf)) * ln((n + 1) / df) AS qw FROM qp JOIN f USING (term), n), z AS (SELECT item_id, sqrt(sum(qw * qw)) AS qnorm FROM q GROUP BY ALL),
+s AS (SELECT item_id, doc_id, round(sum(w * qw) / any_value(norm) / any_value(qnorm), 6) AS score FROM w JOIN q USING (term) JOIN m USING (doc_id) JOIN z USING (item_id) WHERE norm > 0 AND qnorm > 0 GROUP BY ALL)
+SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 3""")
+def text_search_many(spark, d):
+    return text.search_many(text.build(read(spark, d, "documents"), "doc_id", "text"), read(spark, d, "benchmark"), "item_id", "text", 3)
+
+
+# ---- bags of descriptors: labels as objects, 16 vectors as a codebook
+
+_BOW = """c AS (SELECT vec_id AS cw, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 16), e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+dd AS (SELECT vec_id, label, cw, list_distance(e.v, c.v) ^ 2 AS d2 FROM e, c), r AS (SELECT *, exp(-d2 / (2 + 1e-12)) AS k FROM dd QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d2, cw) <= 3),
+a AS (SELECT label, cw, k / sum(k) OVER (PARTITION BY vec_id) AS w FROM r), b AS (SELECT label, cw, sum(w) AS w FROM a GROUP BY ALL), f AS (SELECT cw, count(*) AS df FROM b WHERE w > 0 GROUP BY ALL), n AS (SELECT count(DISTINCT label) AS n FROM b)"""
+
+
+def _weights(name: str, source: str, x: str, key: str) -> str:
+    return f"{name}0 AS (SELECT {key}, cw, {x} * (ln((n + 1.0) / (df + 1)) + 1) AS x FROM {source} JOIN f USING (cw), n WHERE w > 0), {name} AS (SELECT {key}, cw, x / sqrt(sum(x * x) OVER (PARTITION BY {key})) AS w FROM {name}0)"
+
+
+def bows(spark, d) -> DataFrame:
+    df = read(spark, d, "embeddings")
+    book = df.where("vec_id < 16").select(F.col("vec_id").alias("cw"), F.col("embedding").alias("centroid"))
+    return similarity.soft_assign(df, book, "label", "embedding")
+
+
+@query(f"WITH {_BOW} SELECT label, cw, round(w, 6) AS w FROM b")
+def bow_soft_assign(spark, d):
+    return bows(spark, d).select("label", "cw", F.round("w", 6).alias("w"))
+
+
+@query(f"WITH {_BOW} SELECT cw, df FROM f")
+def bow_df(spark, d):
+    return similarity.frequency(bows(spark, d))
+
+
+@query(f"WITH {_BOW}, {_weights('t', 'b', 'ln(1 + w)', 'label')} SELECT label, cw, round(w, 6) AS w FROM t")
+def bow_tfidf(spark, d):
+    b = bows(spark, d)
+    return similarity.tfidf(b, similarity.frequency(b), b.select("label").distinct().count(), "label").select("label", "cw", F.round("w", 6).alias("w"))
+
+
+_Q = "qb AS (SELECT 0 AS q, cw, w FROM b WHERE label = 3)"
+
+
+@query(f"WITH {_BOW}, {_Q}, {_weights('t', 'b', 'ln(1 + w)', 'label')}, {_weights('u', 'qb', 'ln(1 + w)', 'q')}, s AS (SELECT label, sum(t.w * u.w) AS dot FROM t JOIN u USING (cw) GROUP BY ALL) SELECT label, round(coalesce(dot, 0), 6) AS score FROM (SELECT DISTINCT label FROM b) LEFT JOIN s USING (label) ORDER BY score DESC, label LIMIT 5")
+def sim_sequential(spark, d):
+    b = bows(spark, d)
+    return similarity.sequential(b, b.where("label = 3"), 5, "label")
+
+
+@query(f"WITH {_BOW}, {_Q}, {_weights('t', 'b', 'w', 'label')}, {_weights('u', 'qb', 'w', 'q')} SELECT label, round(sum(t.w * u.w), 6) AS score FROM t JOIN u USING (cw) GROUP BY label ORDER BY score DESC, label LIMIT 5")
+def sim_inverted(spark, d):
+    b = bows(spark, d)
+    return similarity.inverted(b, b.where("label = 3"), 5, "label")
+
+
+@query()
+def codebook_kmeans(spark, d):
+    return similarity.train_codebook(read(spark, d, "embeddings"), 16, "embedding").select("cw", F.size("centroid").alias("dims"))
+
+
+# ---- loading and changing rows
+
+_RAW = "('1', '3,5', '[1, 2]'), ('-5', 'x', '3;4'), ('', 'none', ''), ('3.14', '2.50', '7'), ('null', 'NaN', '[]')"
+
+
+@query(f"""WITH r(i, f, a) AS (VALUES {_RAW}), c AS (SELECT i AS raw, CASE WHEN lower(trim(i)) IN ('none', 'null', 'nan') THEN '' ELSE trim(i) END AS i, CASE WHEN lower(trim(f)) IN ('none', 'null', 'nan') THEN '' ELSE trim(f) END AS f FROM r)
+SELECT raw, coalesce(try_cast(regexp_replace(i, '[^0-9]', '', 'g') AS BIGINT), 0) AS i, coalesce(try_cast(replace(f, ',', '.') AS DOUBLE), 0.0) AS f FROM c""")
+def csv_clean(spark, d):
+    rows = [tuple(v.strip().strip("'") for v in r.split("', '")) for r in _RAW.strip("()").split("), (")]
+    df = spark.createDataFrame([(r[0].strip("'"), r[1], r[2].strip("'")) for r in rows], "i string, f string, a string")
+    return df.select(F.col("i").alias("raw"), clean(F.col("i"), "INT").alias("i"), clean(F.col("f"), "FLOAT").alias("f"))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT 99, 'ATLANTIS', 1")
+def insert_visible(spark, d):
+    df = read(spark, d, "nation")
+    return df.unionByName(spark.createDataFrame([(99, "ATLANTIS", 1)], df.schema))
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE NOT (n_regionkey IS NOT DISTINCT FROM 2)")
+def delete_visible(spark, d):
+    df = read(spark, d, "nation")
+    return df.where(~F.col("n_regionkey").eqNullSafe(rel.literal(df, "n_regionkey", 2))).select("n_nationkey", "n_name")
