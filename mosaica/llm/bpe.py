@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaica.llm.common import chunks
+from mosaica.llm.common import chunks, text_chunks
 
 #: Words of more bytes use the scalar tree.
 BATCH_BYTES = 64
@@ -314,10 +314,11 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
         bpe = load(vocabulary)
         for batch in batches:
             n, a, b = [], [], []
-            for ids in bpe.encode(batch.column(1).to_pylist()):
-                n.append(len(ids) // 4)
-                a.append(hashlib.sha256(ids).hexdigest())
-                b.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for _, texts in text_chunks(batch.column(1)):
+                for ids in bpe.encode(texts):
+                    n.append(len(ids) // 4)
+                    a.append(hashlib.sha256(ids).hexdigest())
+                    b.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters of text that are worked on at once inside an Arrow batch.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 600_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,11 +33,24 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/mosaica-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, fmt: str = "parquet", **options) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage ends here, lost executors do not matter."""
+def save(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read back: lineage ends here, lost executors do not matter.
+
+    ``batch_rows`` bounds the rows of an Arrow batch for plans whose rows are large.  Shuffles of plans that nobody
+    holds any more are let go.
+    """
     spark, path = df.sparkSession, scratch_dir(df.sparkSession)
-    df.write.options(**options).format(fmt).save(path)
-    out = spark.read.schema(df.schema).format(fmt).load(path)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    try:
+        if batch_rows:
+            spark.conf.set(setting, str(batch_rows))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
+    gc.collect()
+    spark._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
     out._mosaica_path = path
     return out
 
@@ -66,9 +81,11 @@ def chunks(texts: list, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
-def list_array(flat: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
-    offsets = np.zeros(len(lengths) + 1, dtype=np.int32)
-    np.cumsum(lengths, out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, kind))
-
-
+def text_chunks(column: pa.Array, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, list]]:
+    """(first row, texts) of pieces of a text column, so that a batch is never whole in Python's memory."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    piece, begin = np.cumsum(sizes) // limit, 0
+    for end in [*(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(column)]:
+        if end > begin:
+            yield begin, column.slice(begin, end - begin).to_pylist()
+        begin = end

@@ -13,7 +13,7 @@ _POWERS: list[np.ndarray] = []
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, p, np.uint64)])) for p in (_P, _INVERSE)]
     return _POWERS[0][:n], _POWERS[1][:n]
 
@@ -27,6 +27,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of stretches of bytes."""
+    up, down = powers(len(data) + 1)
+    out = []
+    for spread in (data.astype(np.uint64) + np.uint64(1), mix(np.arange(256, dtype=np.uint64) + np.uint64(0x1234567))[data]):
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(spread * up[: len(data)], out=total[1:])
+        out.append(mix((total[end] - total[start]) * down[start]))
+    return out[0], out[1]
+
+
 @dataclass
 class Words:
     """Words of texts, one after the other."""

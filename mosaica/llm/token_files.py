@@ -15,6 +15,7 @@ repeated ids are ordered by a hash of their text; an empty table gives no file r
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -24,30 +25,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mosaica.llm.bpe import KNOWN, char_class
-from mosaica.llm.common import chunks, partitions
+from mosaica.llm.common import chunks, partitions, text_chunks
+from mosaica.llm.hashing import byte_hashes
 
 SCHEMA = "doc_id long, part int, part_start long, n_tokens int, ids array<int>"
 #: Words that one worker remembers; it starts anew when they are more.
-CACHE_WORDS = 500_000
-
-
-class WordIds(dict):
-    def __init__(self) -> None:
-        super().__init__()
-        self.unknown: dict = {}
-
-    def __missing__(self, word: str) -> bytes:
-        self.unknown[word] = None
-        return b""
+CACHE_WORDS = 300_000
 
 
 class CachedEncoder:
-    """The tokenizers library behind a cache of words.
+    """The tokenizers library behind a table of words.
 
-    Vocabularies with word ends encode each pre-split word on its own.  Lower case and the splitting are
-    done here for texts of Latin-1 characters, where all Unicode versions agree; any other text, and one
-    that holds a special token, goes to the library as a whole.
+    Vocabularies with word ends drop white space and encode each pre-split word on its own.  Texts of Latin-1
+    characters, where all Unicode versions agree, are put in lower case and split here, many at once: bytes of one
+    class are a word (a digit is one of its own), each different word is looked up once by a 128-bit hash, and unknown words
+    go to the library many at a time.  Any other text (other characters, an apostrophe that may begin a contraction,
+    control characters, a special token) goes to the library as a whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -56,41 +49,69 @@ class CachedEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        letters, digits = char_class("L"), char_class("N")
-        space = "\t\n\x0b\x0c\r \x85\xa0"
-        self.find = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{space}{letters}{digits}]+").findall
         special = "|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values())
-        self.hard = re.compile(f"[^\x00-{chr(KNOWN)}]" + (f"|{special}" if special else "")).search
-        self.words = WordIds()
+        self.hard = re.compile("[^\x00-\xff]|[\x1c-\x1f]|'[sStTrRvVmMlLdD]" + (f"|{special}" if special else "")).search
+        characters = [chr(c) for c in range(256)]
+        self.kind = np.array([0 if c in "\t\n\x0b\x0c\r \x85\xa0" else {"L": 1, "N": 2}.get(unicodedata.category(c)[0], 3) for c in characters], np.uint8)
+        self.lower = np.array([ord(c.lower()) for c in characters], np.uint8)
+        self.table: dict[int, tuple[int, bytes]] = {}
 
-    def _library(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words: many are one text, whose words are told apart by number."""
+        out: list[bytes] = []
+        for k in range(0, len(words), 4096):
+            part = words[k : k + 4096]
+            found = self.library.encode(" ".join(part), add_special_tokens=False)
+            number = np.array(found.word_ids, np.int64)
+            if np.array_equal(np.unique(number), np.arange(len(part))):
+                raw = np.array(found.ids, "<u4").tobytes()
+                ends = (4 * np.searchsorted(number, np.arange(len(part)), "right")).tolist()
+                out += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            else:
+                out += self._whole(part)
+        return out
+
+    def _split(self, texts: list[str]) -> list[bytes]:
+        raw = [t.encode("latin-1") for t in texts]
+        data = self.lower[np.frombuffer(b"\n".join([*raw, b""]), np.uint8)]
+        kind = self.kind[data]
+        apart = kind[1:] != kind[:-1]
+        begin = np.flatnonzero((kind > 0) & (np.concatenate([[True], apart]) | (kind == 2)))
+        end = np.flatnonzero((kind > 0) & (np.concatenate([apart, [True]]) | (kind == 2))) + 1
+        one, two = byte_hashes(data, begin, end)
+        values, first, word = np.unique(one, return_index=True, return_inverse=True)
+        if not np.array_equal(two[first][word], two):  # words of equal hashes: as good as never
+            return self._whole(texts)
+        table = self.table
+        if len(table) > CACHE_WORDS:
+            table.clear()
+        keys, check = values.tolist(), two[first].tolist()
+        new = [i for i, (k, c) in enumerate(zip(keys, check, strict=True)) if k not in table or table[k][0] != c]
+        flat = data.tobytes()
+        fresh = self._words([flat[b:e].decode("latin-1") for b, e in zip(begin[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
+        table.update((keys[i], (check[i], ids)) for i, ids in zip(new, fresh, strict=True))
+        parts = [table[k][1] for k in keys]
+        ids = np.frombuffer(b"".join(parts), "<u4")
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        start = np.cumsum(size) - size
+        n = size[word]
+        behind = np.cumsum(n)
+        out = ids[np.repeat(start[word] - (behind - n), n) + np.arange(n.sum())].tobytes()
+        base = np.cumsum([0, *(len(r) + 1 for r in raw)])
+        edge = np.concatenate([[0], 4 * behind])[np.searchsorted(begin, base)].tolist()
+        return [out[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
+
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        words = self.words
         for begin, end in chunks(texts):
-            if len(words) > CACHE_WORDS:
-                words.clear()
-            out, later, hard = [], [], []
-            for i, text in enumerate(texts[begin:end]):
-                if text and self.hard(text):
-                    hard.append(i)
-                    out.append(b"")
-                    continue
-                found = self.find((text or "").lower())
-                before = len(words.unknown)
-                out.append(b"".join(map(words.__getitem__, found)))
-                if len(words.unknown) > before or (before and any(w in words.unknown for w in found)):
-                    later.append((i, found))
-            new = list(words.unknown)
-            words.unknown.clear()
-            words.update(zip(new, self._library(new), strict=True))
-            for i, found in later:
-                out[i] = b"".join(map(words.__getitem__, found))
-            for i, ids in zip(hard, self._library([texts[begin + i] for i in hard]), strict=True):
-                out[i] = ids
-            yield from out
+            part = [t or "" for t in texts[begin:end]]
+            hard = [i for i, t in enumerate(part) if self.hard(t)]
+            easy = sorted(set(range(len(part))) - set(hard))
+            out = dict(zip(easy, self._split([part[i] for i in easy]), strict=True)) | dict(zip(hard, self._whole([part[i] for i in hard]), strict=True))
+            yield from (out[i] for i in range(len(part)))
 
 
 _LOADED: dict[str, CachedEncoder] = {}
@@ -108,12 +129,13 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, path: str, files
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, start, end = load(vocabulary), TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            parts = [ids + end for ids in encoder.encode(batch.column(1).to_pylist())]
-            n = np.fromiter((len(p) // 4 for p in parts), np.int64, len(parts))
-            offsets = np.concatenate([[0], np.cumsum(n)])
-            ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(parts), "<i4")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(start + offsets[:-1]), pa.array(n.astype(np.int32)), ids], ["doc_id", "part", "part_start", "n_tokens", "ids"])
-            start += int(offsets[-1])
+            for at, texts in text_chunks(batch.column(1)):
+                parts = [ids + end for ids in encoder.encode(texts)]
+                n = np.fromiter((len(p) // 4 for p in parts), np.int64, len(parts))
+                offsets = np.concatenate([[0], np.cumsum(n)])
+                ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), pa.array(np.full(len(n), part, np.int32)), pa.array(start + offsets[:-1]), pa.array(n.astype(np.int32)), ids], ["doc_id", "part", "part_start", "n_tokens", "ids"])
+                start += int(offsets[-1])
 
     spark = docs.sparkSession
     ordered = docs.select("doc_id", "text").repartitionByRange(files or partitions(spark), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
