@@ -206,7 +206,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_
                     q, i, s = best(query[a : a + 256], own[a : a + 256], block, made, k, rerank)
                     yield pa.RecordBatch.from_arrays([pa.array(own[a : a + 256][q]), pa.array(i), pa.array(s), pa.array(np.full(len(q), block["g"] % 32, np.int32))], ["query_id", "vec_id", "score", "part"])
 
-    found = index.join(packed, "g").mapInArrow(run, "query_id long, vec_id long, score double, part int")
+    found = save(index.join(packed, "g").mapInArrow(run, "query_id long, vec_id long, score double, part int"), 4)
     for keys in (("query_id", "part"), ("query_id",)):  # the best of a few blocks, then of all
         entry = F.struct((-F.col("score")).alias("negative"), F.col("vec_id"))
         found = found.groupBy(*keys).agg(F.slice(F.array_sort(F.array_distinct(F.collect_list(entry))), 1, k).alias("best")).select(*keys, F.posexplode("best").alias("place", "at")).select(*keys, "place", F.col("at.vec_id").alias("vec_id"), (-F.col("at.negative")).alias("score"))

@@ -13,9 +13,9 @@ the lists.  Frequencies come from counts inside partitions, kept in a table of f
 right, they steer cost alone.
 
 Lists are not expanded into pairs.  First each member is compared with its list's centre (the member whose shingles
-are most frequent: of an original and its edited copies, the original).  Lists whose members are then still in
-several components are compared in blocks: members outside the list's largest component with all others, as
-products of 0/1 matrices.  Every pair that shares a key is so compared or is in one component already; no
+are most frequent: of an original and its edited copies, the original).  In lists whose other members are then still in
+several components, those outside the largest one are compared with all of other components: pair by pair in short
+lists, in blocks, as products of 0/1 matrices, in long ones.  Every pair that shares a key is so compared or is in one component already; no
 list is cut, so no link between different sets is lost from the components.
 
 Edge cases: a text without words is linked with nothing and is its own component; one of fewer words than a
@@ -34,18 +34,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaica.llm.common import chunks, discard, save
+from mosaica.llm.common import discard, save, text_chunks
 from mosaica.llm.components import components
 from mosaica.llm.hashing import grams, mix, signed, split_words
 
 #: Slots of the frequency table (a byte each, sent to every worker).
 SLOTS = 1 << 22
 #: Shingles that a task counts at once.
-COUNTED = 4_000_000
+COUNTED = 2_000_000
 #: Largest set that may be enumerated.
 LARGEST_LIGHT = 24
-#: Members of a list that are compared at once.
+#: Members of a list that are compared at once, and rows (pairs of such blocks, some MB each) in an Arrow batch.
 BLOCK = 256
+PAIRS = 4
+#: Lists of at most so many members are compared pair by pair; a pair that many lists share is compared once.
+SHORT = 64
 
 
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
@@ -63,9 +66,9 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     return out
 
 
-def each(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
-    for a, b in chunks(texts):
-        yield from shingle_sets(texts[a:b], width)
+def each(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
+    for _, part in text_chunks(texts):
+        yield from shingle_sets(part, width)
 
 
 def least_common(s: int, t: int, percent: int) -> int:
@@ -115,9 +118,9 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(each(batch.column(1).to_pylist(), width))
-            h = [np.array([f(s).sum(dtype=np.uint64) for s in sets], np.uint64) for f in (lambda s: mix(s + np.uint64(1)), lambda s: mix(s ^ np.uint64(0x5DEECE66D1234567)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(signed(x)) for x in h), pa.array([len(s) for s in sets], pa.int64())], ["row", "text", "h1", "h2", "n"])
+            sums = [(mix(s + np.uint64(1)).sum(dtype=np.uint64), mix(s ^ np.uint64(0x5DEECE66D1234567)).sum(dtype=np.uint64), np.uint64(len(s))) for s in each(batch.column(1), width)]
+            cells = np.array(sums, np.uint64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(signed(np.ascontiguousarray(cells[:, i]))) for i in range(3))], ["row", "text", "h1", "h2", "n"])
 
     rest = F.struct(*(F.col(c) for c in docs.columns if c != "text"))
     return docs.select(rest.alias("row"), "text").mapInArrow(run, docs.select(rest.alias("row"), F.col("text").cast("string").alias("text"), F.lit(None).cast("long").alias("h1"), F.lit(None).cast("long").alias("h2"), F.lit(None).cast("long").alias("n")).schema)
@@ -137,7 +140,7 @@ def frequency_levels(nodes: DataFrame, width: int) -> np.ndarray:
 
         size = 0
         for batch in batches:
-            for own in each(batch.column(0).to_pylist(), width):
+            for own in each(batch.column(0), width):
                 held.append(own)
                 size += len(own)
                 if size > COUNTED:
@@ -165,7 +168,7 @@ def postings(nodes: DataFrame, table: np.ndarray, width: int, percent: int) -> D
     def scan_cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, cost = [], []
-            for own in each(batch.column(0).to_pylist(), width):
+            for own in each(batch.column(0), width):
                 level = table[own & np.uint64(SLOTS - 1)]
                 n.append(len(own))
                 cost.append(float((2.0 ** np.sort(level)[: prefix_length(len(own), percent)]).sum()))
@@ -178,10 +181,10 @@ def postings(nodes: DataFrame, table: np.ndarray, width: int, percent: int) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            texts = batch.column(1).to_pylist()
-            for a, b in chunks(texts):
+            for a, texts in text_chunks(batch.column(1)):
+                b = a + len(texts)
                 keys, sizes, score = [], [], []
-                for own in shingle_sets(texts[a:b], width):
+                for own in shingle_sets(texts, width):
                     level = table[own & np.uint64(SLOTS - 1)]
                     keys.append(keys_of(own, level, boundary, percent))
                     sizes.append(len(own))
@@ -205,11 +208,10 @@ def verify(pairs: DataFrame, nodes: DataFrame, width: int, percent: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             centre, node = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            texts, middle = batch.column(3).to_pylist(), batch.column(2)
             keep, known = [], (None, None)
-            for i, own in enumerate(each(texts, width)):
+            for i, own in enumerate(each(batch.column(3), width)):
                 if known[0] != centre[i]:
-                    known = centre[i], next(each([middle[i].as_py()], width))
+                    known = centre[i], next(each(batch.column(2).slice(i, 1), width))
                 common = len(np.intersect1d(own, known[1], assume_unique=True))
                 keep.append(100 * common >= percent * (len(own) + len(known[1]) - common))
             keep = pa.array(keep, pa.bool_())
@@ -218,6 +220,13 @@ def verify(pairs: DataFrame, nodes: DataFrame, width: int, percent: int) -> Data
     return rows.sortWithinPartitions("centre").mapInArrow(run, "a long, b long")
 
 
+def short_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(centre, node) pairs of short lists: members outside the list's largest component with all of other components."""
+    x = members.where("not main").select("key", F.col("node").alias("centre"), F.col("n").alias("centre_n"), F.col("comp").alias("centre_comp"))
+    pairs = x.join(members, "key").where(F.col("comp") != F.col("centre_comp")).where("main or centre < node").where(close("n", "centre_n", percent))
+    return pairs.select(F.least("centre", "node").alias("centre"), F.greatest("centre", "node").alias("node")).distinct()
+
+
 def blockwise(members: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """Links between components of the same list: ``members`` is (key, node, comp, main), main the list's largest.
 
@@ -229,12 +238,12 @@ def blockwise(members: DataFrame, nodes: DataFrame, width: int, percent: int) ->
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(each(batch.column("text").to_pylist(), width))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("block"), batch.column("main"), batch.column("node"), batch.column("comp"), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "block", "main", "node", "comp", "own"])
+            sets = [s.tobytes() for s in each(batch.column("text"), width)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("block"), batch.column("main"), batch.column("node"), batch.column("comp"), pa.array(sets, pa.binary())], ["key", "block", "main", "node", "comp", "own"])
 
     one = F.struct("node", "comp", "own")
     packed = rows.select("key", "block", "main", "node", "comp", "text").mapInArrow(pack, "key long, block long, main boolean, node long, comp long, own binary")
-    blocks = save(packed.groupBy("key", "block", "main").agg(F.collect_list(one).alias("rows")))  # about BLOCK rows each
+    blocks = save(packed.groupBy("key", "block", "main").agg(F.collect_list(one).alias("rows")), BLOCK)  # about BLOCK rows each
     pairs = blocks.where("not main").select("key", F.col("block").alias("b1"), F.col("rows").alias("left")).join(blocks.select("key", "main", F.col("block").alias("b2"), F.col("rows").alias("right")), "key").where("main or b1 <= b2")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,11 +295,15 @@ def cluster(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataF
     pairs = members.where("node <> centre").select("centre", "node", "n").distinct().join(size, "centre").where(close("n", "centre_n", percent)).select("centre", "node")
     links = save(verify(pairs, nodes, width, percent))
 
-    labelled = save(label(members.select("key", "node"), links))
+    # every member has met its centre; what is left are pairs of other members in different components
+    labelled = save(label(members.where("node <> centre"), links))
     per = labelled.groupBy("key", "comp").agg(F.count("*").alias("size"))
-    several = per.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("size", "comp")).alias("big")).where("comps > 1").select("key", F.col("big.comp").alias("largest"))
-    open_lists = save(labelled.join(several, "key").withColumn("main", F.col("comp") == F.col("largest")).select("key", "node", "comp", "main"))
-    more = save(blockwise(open_lists, nodes, width, percent).distinct())
+    several = per.groupBy("key").agg(F.count("*").alias("comps"), F.sum("size").alias("size"), F.max(F.struct("size", "comp")).alias("big")).where("comps > 1").select("key", "size", F.col("big.comp").alias("largest"))
+    open_lists = save(labelled.join(several, "key").withColumn("main", F.col("comp") == F.col("largest")).select("key", "node", "n", "comp", "main", "size"))
+    discard(labelled, members)
+    some = save(verify(short_pairs(open_lists.where(F.col("size") <= SHORT), percent), nodes, width, percent))
+    more = save(blockwise(open_lists.where(F.col("size") > SHORT).drop("n", "size"), nodes, width, percent), PAIRS)
+    links = links.unionAll(some)
     roots = components(links.unionAll(more))
     return described, nodes, nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 

@@ -48,10 +48,11 @@ def test_documents(spark):
     assert result(queries.op3_jaccard_components(spark, sf)) == brute(rows)
 
 
-@pytest.mark.parametrize("block", [4, 256])
-def test_edited_copies(make_docs, monkeypatch, block):
+@pytest.mark.parametrize(("block", "short"), [(4, 6), (256, 64)])
+def test_edited_copies(make_docs, monkeypatch, block, short):
     """Groups where copies link to the original, to each other or to nothing."""
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "SHORT", short)
     rng = random.Random(5)
     words = [f"w{i}" for i in range(300)]
     rows = []
