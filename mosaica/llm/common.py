@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import gc
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +19,22 @@ from pyspark.sql import DataFrame, SparkSession
 CHUNK_CHARS = 600_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the workers, unless they start where they find it."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parents[2]
+    if getattr(sc, "_mosaica_shipped", False):
+        return
+    sc._mosaica_shipped = True
+    if str(root) not in os.environ.get("PYTHONPATH", "").split(os.pathsep) and Path.cwd() != root:
+        out = Path(tempfile.mkdtemp(prefix="mosaica-")) / "mosaica.zip"
+        with zipfile.ZipFile(out, "w") as z:
+            for f in sorted((root / "mosaica").rglob("*.py")):
+                z.write(f, f.relative_to(root))
+        sc.addPyFile(str(out))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
