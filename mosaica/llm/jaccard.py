@@ -202,8 +202,10 @@ def close(a: str, b: str, percent: int):
 
 def verify(pairs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (centre, node) that link, by their whole sets."""
-    text = nodes.select(F.col("node").alias("centre"), F.col("text").alias("centre_text"))
-    rows = pairs.join(nodes.select("node", "text"), "node").join(text, "centre").select("centre", "node", "centre_text", "text")
+    pairs = save(pairs)
+    named = pairs.select("node").unionAll(pairs.select("centre")).distinct()
+    texts = save(nodes.select("node", "text").join(named, "node", "left_semi"))  # most texts are in no pair
+    rows = pairs.join(texts, "node").join(texts.select(F.col("node").alias("centre"), F.col("text").alias("centre_text")), "centre").select("centre", "node", "centre_text", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,7 +219,9 @@ def verify(pairs: DataFrame, nodes: DataFrame, width: int, percent: int) -> Data
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    return rows.sortWithinPartitions("centre").mapInArrow(run, "a long, b long")
+    out = save(rows.sortWithinPartitions("centre").mapInArrow(run, "a long, b long"))
+    discard(pairs, texts)
+    return out
 
 
 def short_pairs(members: DataFrame, percent: int) -> DataFrame:
@@ -227,6 +231,15 @@ def short_pairs(members: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("centre", "node").alias("centre"), F.greatest("centre", "node").alias("node")).distinct()
 
 
+def merged_lists(members: DataFrame) -> DataFrame:
+    """(key, node, comp, main) of long lists, those that share members made one: a set is then sent once, not once a list."""
+    hub = members.groupBy("key").agg(F.min("node").alias("hub"))
+    one = components(members.join(hub, "key").select(F.col("node").alias("a"), F.col("hub").alias("b"))).withColumnRenamed("root", "key")
+    rows = members.select("node", "comp").distinct().join(one, "node")
+    largest = rows.groupBy("key", "comp").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("largest"))
+    return save(rows.join(largest, "key").select("key", "node", "comp", (F.col("comp") == F.col("largest")).alias("main")))
+
+
 def blockwise(members: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """Links between components of the same list: ``members`` is (key, node, comp, main), main the list's largest.
 
@@ -293,7 +306,7 @@ def cluster(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataF
     discard(posted)
     size = nodes.select(F.col("node").alias("centre"), F.col("n").alias("centre_n"))
     pairs = members.where("node <> centre").select("centre", "node", "n").distinct().join(size, "centre").where(close("n", "centre_n", percent)).select("centre", "node")
-    links = save(verify(pairs, nodes, width, percent))
+    links = verify(pairs, nodes, width, percent)
 
     # every member has met its centre; what is left are pairs of other members in different components
     labelled = save(label(members.where("node <> centre"), links))
@@ -301,8 +314,8 @@ def cluster(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataF
     several = per.groupBy("key").agg(F.count("*").alias("comps"), F.sum("size").alias("size"), F.max(F.struct("size", "comp")).alias("big")).where("comps > 1").select("key", "size", F.col("big.comp").alias("largest"))
     open_lists = save(labelled.join(several, "key").withColumn("main", F.col("comp") == F.col("largest")).select("key", "node", "n", "comp", "main", "size"))
     discard(labelled, members)
-    some = save(verify(short_pairs(open_lists.where(F.col("size") <= SHORT), percent), nodes, width, percent))
-    more = save(blockwise(open_lists.where(F.col("size") > SHORT).drop("n", "size"), nodes, width, percent), PAIRS)
+    some = verify(short_pairs(open_lists.where(F.col("size") <= SHORT), percent), nodes, width, percent)
+    more = save(blockwise(merged_lists(open_lists.where(F.col("size") > SHORT)), nodes, width, percent), PAIRS)
     links = links.unionAll(some)
     roots = components(links.unionAll(more))
     return described, nodes, nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
