@@ -3,9 +3,11 @@
 A text becomes a template: numbers, names (capitals inside a sentence) and units (after a number) turn into typed
 placeholders, all else into lower-case words.  Windows of ``WINDOW`` template tokens of every text are hash-joined
 with those of the benchmark (an item of fewer tokens is one window; at most half of a window may be
-placeholders).  Windows of one item on one diagonal of a text are an occurrence: its slots are consistent
+placeholders).  So are windows of plain lower-case tokens, which find copies whose case or line wrapping differs and
+windows rich in placeholders by their exact values, and windows of folded templates, in which a number with
+``,`` or ``.`` and a run of adjacent names are one placeholder.  Windows of one item on one diagonal of a text are an occurrence: its slots are consistent
 if each value of the item always stands for the same value of the text.  A text is contaminated by an
-item if consistent occurrences cover ``coverage`` of the item's windows: verbatim (``exact``) or with other
+item if consistent occurrences cover ``coverage`` of the item's windows of a family: verbatim (``exact``) or with other
 values (``reparameterised``).
 
 Only DataFrame expressions.  The benchmark's windows are broadcast when there are at most
@@ -31,18 +33,33 @@ NUMBER, NAME, UNIT = "\x01", "\x02", "\x03"
 #: (pattern, replacement) before and after lower-casing; the same to java.util.regex and RE2.
 MARK = [("[\x01-\x03]", " "), (r"([^.!?:; \t\n\r][ \t]{1,2})(\p{Lu})", f"$1{NAME}$2"), ("([0-9]+)", f" {NUMBER}$1 ")]
 CLEAN = [(f"({NUMBER}[0-9]+ +)({'|'.join(sorted(UNITS, key=len, reverse=True))})([^\\p{{L}}\\p{{M}}]|$)", f"$1{UNIT}$2$3"), ("[^\\p{L}\\p{M}\\p{N}\x01-\x03]+", " "), ("^ +| +$", "")]
+#: After MARK and lower-casing: the mark of digits that ``,`` or ``.`` joins to digits before them is doubled.
+GROUP = (f"([0-9]) [.,] {NUMBER}", f"$1 {NUMBER}{NUMBER}")
+#: Makes one token of a number's digit groups, and of adjacent names; for java.util.regex only.
+FOLD = (f"({NAME}[^ ]+) (?={NAME})| (?={NUMBER}{NUMBER})", "$1")
+#: Windows of words as they are, of templates, and of templates with each number and run of names as one placeholder.
+FAMILIES = ("plain", "template")
 
 
 def marked(text: Column) -> Column:
-    """Tokens joined by blanks; those of a type begin with its mark."""
+    """Tokens joined by blanks; those of a type begin with its mark, further digit groups of a number with two."""
     for pattern, to in MARK:
         text = F.regexp_replace(text, pattern, to)
-    text = F.lower(text)
+    text = F.regexp_replace(F.lower(text), *GROUP)
     for pattern, to in CLEAN:
         text = F.regexp_replace(text, pattern, to)
     return text
 
 
+def plain(mark: Column) -> Column:
+    return F.regexp_replace(mark, "[\x01-\x03]+", "")
+
+
+def view(mark: Column, family: str) -> Column:
+    """``marked`` text as a family of windows sees it."""
+    return plain(mark) if family == "plain" else F.regexp_replace(mark, *FOLD) if family == "folded" else mark
+
+
 def tokens(mark: Column) -> Column:
     return F.when(F.length(mark) > 0, F.split(mark, " ")).otherwise(F.array().cast("array<string>"))
 
@@ -51,43 +68,76 @@ def template(values: Column) -> Column:
     return F.transform(values, lambda t: F.when(t < "\x04", F.substring(t, 1, 1)).otherwise(t))
 
 
+def single(values: Column) -> Column:
+    """Values of slots: a further digit group of a number is a number as any other."""
+    return F.transform(values, lambda t: F.when(t.startswith(NUMBER * 2), F.substring(t, 2, 1 << 30)).otherwise(t))
+
+
 def once(value: Column, use) -> Column:
     """``use`` of a value that is computed once, though ``use`` names it inside lambda functions."""
     return F.transform(F.array(value), use)[0]
 
 
+def window_key(values: Column) -> Column:
+    """The hash that ``windows`` gives: that of an array is that of its elements as columns."""
+    return F.xxhash64(F.transform(values, lambda t: F.xxhash64(t)))
+
+
 def windows(values: Column, size: int) -> Column:
-    """Hashes of all windows of template tokens; none if there are fewer tokens."""
-    whole = lambda v: F.transform(F.sequence(F.lit(1), F.size(v) - size + 1), lambda i: F.xxhash64(F.array_join(F.slice(v, i, size), " ")))
-    return once(values, lambda v: F.when(F.size(v) >= size, whole(v)).otherwise(F.array().cast("array<bigint>")))
+    """Hashes of all windows of tokens, each token hashed once; none if there are fewer tokens."""
+    whole = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - size), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(size))))
+    return once(F.transform(values, lambda t: F.xxhash64(t)), lambda h: F.when(F.size(h) >= size, whole(h)).otherwise(F.array().cast("array<bigint>")))
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, of, at, size, key, window, values): a row for each window that counts, ``of`` so many of its item."""
-    items = benchmark.select("item_id", tokens(marked(F.coalesce("text", F.lit("")))).alias("v")).where(F.size("v") >= LEAST).distinct()
-    items = items.withColumn("size", F.least(F.lit(WINDOW), F.size("v")))
-    piece = lambda b, i: F.struct(i.alias("at"), F.array_join(F.slice(b["t"], i, F.col("size")), " ").alias("window"), F.slice(b["v"], i, F.col("size")).alias("values"))
-    parts = once(F.struct(F.col("v"), template(F.col("v")).alias("t")), lambda b: F.transform(F.sequence(F.lit(1), F.size(b["v"]) - F.col("size") + 1), lambda i: piece(b, i)))
-    few = F.filter(parts, lambda p: 2 * F.size(F.filter(p["values"], lambda x: x < "\x04")) <= F.size(p["values"]))
-    return items.select("item_id", "size", few.alias("w")).select("item_id", "size", F.size("w").alias("of"), F.explode("w").alias("w")).select("item_id", "of", "size", "w.at", F.xxhash64("w.window").alias("key"), "w.window", "w.values")
-
-
-def hits(docs: DataFrame, bench: DataFrame, sizes: list[int], small: bool) -> DataFrame:
-    """(doc_id, text_hash, item_id, of, pos, at, of the item: values, of the text: found) of equal windows."""
-    base = docs.where(F.length("text") > 0).select("doc_id", F.xxhash64("text").alias("text_hash"), marked(F.col("text")).alias("mark"))
+    """(family, item_id, bare, whole, of, at, size, key, window, values): a row for each window that counts.
+
+    ``of`` is the number of such windows of the item in the family, ``whole`` that of its plain windows; ``bare`` items
+    have no placeholder, so their plain windows are their templates' too.
+    """
+    out = None
+    for family in FAMILIES:
+        text = marked(F.coalesce("text", F.lit("")))
+        n = F.size(tokens(view(text, "plain")))
+        bare = ~F.exists(tokens(text), lambda x: x < "\x04")
+        rows = benchmark.select("item_id", bare.alias("bare"), (n - F.least(F.lit(WINDOW), n) + 1).alias("whole"), tokens(view(text, family)).alias("v")).where(F.size("v") >= LEAST).distinct()
+        if family != "plain":
+            rows = rows.where(~F.col("bare"))
+        rows = rows.withColumn("size", F.least(F.lit(WINDOW), F.size("v")))
+        piece = lambda b, i: F.struct(i.alias("at"), F.slice(b["t"], i, F.col("size")).alias("window"), F.slice(b["v"], i, F.col("size")).alias("values"))
+        parts = once(F.struct(F.col("v"), template(F.col("v")).alias("t")), lambda b: F.transform(F.sequence(F.lit(1), F.size(b["v"]) - F.col("size") + 1), lambda i: piece(b, i)))
+        few = F.filter(parts, lambda p: 2 * F.size(F.filter(p["values"], lambda x: x < "\x04")) <= F.size(p["values"]))
+        rows = rows.select("item_id", "bare", "whole", "size", few.alias("w")).select("item_id", "bare", "whole", "size", F.size("w").alias("of"), F.explode("w").alias("w"))
+        values = F.col("w.values") if family == "folded" else single(F.col("w.values"))
+        rows = rows.select(F.lit(family).alias("family"), "item_id", "bare", "whole", "of", "size", "w.at", window_key(F.col("w.window")).alias("key"), F.array_join("w.window", " ").alias("window"), values.alias("values"))
+        out = rows if out is None else out.unionAll(rows)
+    return out
+
+
+def hits(docs: DataFrame, bench: DataFrame, kinds: list[tuple[str, int]], small: bool) -> DataFrame:
+    """(doc_id, text_hash, family, item_id, bare, whole, of, pos, at, of the item: values, of the text: found, typed) of equal windows.
+
+    ``typed``: the text's template is equal as well.
+    """
     out = None
-    for size in sizes:
-        mine = bench.where(F.col("size") == size)
-        keys = windows(template(tokens(F.col("mark"))), size)
+    for family, size in kinds:
+        base = docs.where(F.length("text") > 0).select("doc_id", F.xxhash64("text").alias("text_hash"), marked(F.col("text")).alias("mark"))
+        mark = F.col("mark") if family == "plain" else view(F.col("mark"), family)
+        words = F.when(F.length("mark") > 0, F.split(mark, " ")).otherwise(F.array().cast("array<string>"))
+        mine = bench.where((F.col("family") == family) & (F.col("size") == size))
+        typed = (lambda v: F.transform(v, plain)) if family == "plain" else template
+        keys = windows(F.when(F.length("mark") > 0, F.split(plain(F.col("mark")), " ")).otherwise(F.array().cast("array<string>")) if family == "plain" else template(words), size)
         if small:
             rows = base.select("doc_id", "text_hash", "mark", F.posexplode(keys).alias("pos", "key")).join(F.broadcast(mine), "key")
         else:
             thin = base.select("doc_id", "text_hash", F.posexplode(keys).alias("pos", "key")).join(mine, "key")
             rows = thin.join(base.distinct(), (thin["doc_id"].eqNullSafe(base["doc_id"])) & (thin["text_hash"] == base["text_hash"])).select(thin["*"], "mark")
-        found = F.slice(tokens(F.col("mark")), F.col("pos") + 1, size)
+        found = F.slice(words, F.col("pos") + 1, size)
         # not an equality, which would become a join key that is computed for every window of every text
-        same = F.array_contains(F.array("window"), F.array_join(template(found), " "))
-        rows = rows.where(same).withColumn("found", found).select("doc_id", "text_hash", "item_id", "of", "pos", "at", "values", "found")
+        same = F.array_contains(F.array("window"), F.array_join(typed(found), " "))
+        value = found if family == "folded" else typed(found) if family == "plain" else single(found)
+        also = ~F.exists(found, lambda x: x < "\x04") if family == "plain" else F.lit(True)
+        rows = rows.where(same).select("doc_id", "text_hash", "family", "item_id", "bare", "whole", "of", "pos", "at", "values", value.alias("found"), also.alias("typed"))
         out = rows if out is None else out.unionAll(rows)
     return out
 
@@ -95,17 +145,23 @@ def hits(docs: DataFrame, bench: DataFrame, sizes: list[int], small: bool) -> Da
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, text_hash, item_id, coverage, kind) of each text and item that contaminates it."""
     bench = benchmark_windows(benchmark)
-    sizes = {r["size"]: r.n for r in bench.groupBy("size").agg(F.count("*").alias("n")).collect()}  # WINDOW rows at most
-    if not sizes:
-        sizes = {WINDOW: 0}
-    found = hits(docs, bench, sorted(sizes), sum(sizes.values()) <= BROADCAST_WINDOWS)
+    kinds = {(r.family, r["size"]): r.n for r in bench.groupBy("family", "size").agg(F.count("*").alias("n")).collect()}  # WINDOW rows a family at most
+    if not kinds:
+        kinds = {("plain", WINDOW): 0}
+    found = hits(docs, bench, sorted(kinds), sum(kinds.values()) <= BROADCAST_WINDOWS)
+    item = ["doc_id", "text_hash", "family", "item_id", "bare", "whole", "of"]
     slots = F.filter(F.arrays_zip("values", "found"), lambda p: p["values"] < "\x04")
-    occurrence = found.groupBy("doc_id", "text_hash", "item_id", "of", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.array_distinct(F.flatten(F.collect_list(slots))).alias("slots"), F.collect_set("at").alias("at"))
+    typed = F.collect_set(F.when(F.col("typed"), F.col("at")))
+    occurrence = found.groupBy(*item, (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.array_distinct(F.flatten(F.collect_list(slots))).alias("slots"), F.collect_set("at").alias("at"), typed.alias("typed"))
     consistent = occurrence.where(F.size(F.array_distinct(F.col("slots.values"))) == F.size("slots"))
     exact = F.forall("slots", lambda p: p["values"] == p["found"])
-    covered = consistent.select("doc_id", "text_hash", "item_id", "of", exact.alias("exact"), F.explode("at").alias("at")).groupBy("doc_id", "text_hash", "item_id", "of", "at").agg(F.max("exact").alias("exact"))
-    share = covered.groupBy("doc_id", "text_hash", "item_id", "of").agg(F.count("*").alias("n"), F.min("exact").alias("exact"))
-    return share.where(F.col("n") >= coverage * F.col("of")).select("doc_id", "text_hash", "item_id", F.round(F.col("n") / F.col("of"), 6).alias("coverage"), F.when(F.col("exact"), "exact").otherwise("reparameterised").alias("kind"))
+    covered = consistent.select(*item, exact.alias("exact"), "typed", F.explode("at").alias("at")).groupBy(*item, "at").agg(F.max("exact").alias("exact"), F.max(F.array_contains("typed", F.col("at"))).alias("typed"))
+    share = covered.groupBy(*item).agg(F.count("*").alias("n"), F.count_if("typed").alias("typed"), F.min("exact").alias("exact"))
+    share = share.withColumn("n", F.when(F.col("bare") & (F.col("typed") >= coverage * F.col("of")), F.col("typed")).otherwise(F.col("n"))).where(F.col("n") >= coverage * F.col("of"))
+    # an item found by its template is reported by that, others by their plain windows and then by the folded template
+    order = F.when(F.col("family") == "template", 0).when(F.col("family") == "plain", 1).otherwise(2)
+    best = share.groupBy("doc_id", "text_hash", "item_id", "whole").agg(F.min(F.struct(order.alias("order"), (-F.round(F.col("n") / F.col("of"), 6)).alias("negative"), (~F.col("exact")).alias("other"))).alias("best"))
+    return best.select("doc_id", "text_hash", "item_id", (-F.col("best.negative")).alias("coverage"), F.when(F.col("best.other"), "reparameterised").otherwise("exact").alias("kind"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:

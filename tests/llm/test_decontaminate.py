@@ -41,3 +41,14 @@ def test_slots(spark, make_docs, monkeypatch, limit):
 def test_templates(spark):
     row = spark.range(1).select(F.lit("We met Ana Lu at 5pm, then drove 30 km. Bob paid $4.50!").alias("t")).select(dc.template(dc.tokens(dc.marked(F.col("t")))).alias("t")).first()
     assert row.t == ["we", "met", "\x02", "\x02", "at", "\x01", "pm", "then", "drove", "\x01", "\x03", "bob", "paid", "\x01", "\x01"]
+
+
+@pytest.mark.parametrize("limit", [dc.BROADCAST_WINDOWS, -1])
+def test_copies_in_other_case_and_wrapping(spark, make_docs, monkeypatch, limit):
+    monkeypatch.setattr(dc, "BROADCAST_WINDOWS", limit)
+    bench = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
+    filler = "the river ran on under a grey sky while nobody spoke a word "
+    docs = make_docs([(1, filler + QUESTION.upper().lower()), (2, QUESTION.upper()), (3, QUESTION.replace(" ", "\n")), (4, QUESTION.replace(" ", "   ")), (5, filler)])
+    got = {r.doc_id: (r.kind, r.coverage) for r in dc.contaminated(docs, bench).collect()}
+    assert got == {i: ("exact", 1.0) for i in (1, 2, 3, 4)}
+    assert [r.doc_id for r in dc.decontaminate(docs, bench).collect()] == [5]
