@@ -38,7 +38,7 @@ GROUP = (f"([0-9]) [.,] {NUMBER}", f"$1 {NUMBER}{NUMBER}")
 #: Makes one token of a number's digit groups, and of adjacent names; for java.util.regex only.
 FOLD = (f"({NAME}[^ ]+) (?={NAME})| (?={NUMBER}{NUMBER})", "$1")
 #: Windows of words as they are, of templates, and of templates with each number and run of names as one placeholder.
-FAMILIES = ("plain", "template")
+FAMILIES = ("plain", "template", "folded")
 
 
 def marked(text: Column) -> Column:

@@ -52,3 +52,19 @@ def test_copies_in_other_case_and_wrapping(spark, make_docs, monkeypatch, limit)
     got = {r.doc_id: (r.kind, r.coverage) for r in dc.contaminated(docs, bench).collect()}
     assert got == {i: ("exact", 1.0) for i in (1, 2, 3, 4)}
     assert [r.doc_id for r in dc.decontaminate(docs, bench).collect()] == [5]
+
+
+def test_values_of_other_shape(spark, make_docs):
+    sums = "Compute 12 + 7 * 3 - 4 / 2"
+    story = "A shop sold 900 red apples for 3.5 euros each while Anna packed them and then Mr Olsen drove 20 boxes to town"
+    items = spark.createDataFrame([(1, sums), (2, story)], "item_id long, text string")
+    other = story.replace("900", "1,200").replace("3.5", "4").replace("Anna", "Mary Ann").replace("Mr Olsen", "Peter")
+    docs = make_docs([(1, "so: " + sums + " = ?"), (2, sums.replace("12", "13")), (3, other), (4, story.upper()), (5, "numbers 12 7 3"), (6, other.replace("Peter drove", "Peter slowly pushed"))])
+    got = {(r.doc_id, r.item_id): (r.kind, r.coverage) for r in dc.contaminated(docs, items).collect()}
+    assert got.pop((6, 2))[0] == "reparameterised"
+    assert got == {(1, 1): ("exact", 1.0), (3, 2): ("reparameterised", 1.0), (4, 2): ("exact", 1.0)}
+
+
+def test_folded_tokens(spark):
+    row = spark.range(1).select(F.lit("Then Mary Ann Lee paid 1,234.50 and 7, 8 or 9 , 3 km").alias("t")).select(dc.tokens(dc.view(dc.marked(F.col("t")), "folded")).alias("t")).first()
+    assert [x.strip("\x01\x02\x03") for x in row.t] == ["then", "mary\x02ann\x02lee", "paid", "1\x01\x01234\x01\x0150", "and", "7", "8", "or", "9", "3", "km"]
