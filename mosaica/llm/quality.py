@@ -7,11 +7,13 @@ sample bounded by ``labelled``) and of the raw text (every document).  The log i
     concentration * (sum of log p_target / p_raw + prior * mean_target) / (n + prior)
 
 per feature, drawn towards the target's own mean for texts of a few words.  The sample has ``k`` documents: as
-many as have a weight that labelled good rows have too (a bar fitted on the labelled sample).  Gumbel noise, a
+many as have a weight that labelled good rows have too (a bar fitted on the labelled sample).  A text whose largest feature
+evidence for toxicity (log odds of a feature among labelled toxic texts against others) is beyond a bar has weight
+zero: one toxic word is enough, however long the text.  Gumbel noise, a
 hash of id and text, is added to the weights and the ``k`` largest stay: a draw without replacement in proportion
 to the weights that any retry repeats.
 
-Edge cases: a null text, and one with no feature, has weight zero and is never drawn; a null id is drawn like
+Edge cases: a null text, one with no feature, and a toxic one have weight zero and is never drawn; a null id is drawn like
 any other; equal rows have equal keys and rows that tie with the last drawn one are all drawn; without labels all
 weights are equal and every document with a feature is drawn; an empty table gives no rows; other columns are
 kept, and names that clash with results are replaced.
@@ -34,14 +36,20 @@ BUCKETS = 1 << 16
 RESULTS = ("log_weight", "gumbel_key")
 
 
-def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(text index, bucket) of every feature."""
+def hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(text index, hash) of every feature."""
     w = split_words(texts, marks=True, lower=False)
     pair = grams(w.hash, 2)
     pair = np.where(w.hash[1:] == w.hash[:-1], np.uint64(1), pair) if len(pair) else pair
     inside = w.doc[1:] == w.doc[:-1]
     doc = np.concatenate([w.doc, w.doc[1:][inside]])
     h = np.concatenate([w.hash, mix(pair[inside] + np.uint64(7))])
+    return doc, h
+
+
+def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(text index, bucket) of every feature."""
+    doc, h = hashes(texts)
     return doc, (h >> np.uint64(48)).astype(np.int64)
 
 
@@ -51,6 +59,19 @@ class Model:
     mean: float  # of a feature of the target
     bar: float  # least score of a document that counts as good
     prior: float = 20.0
+    toxic: np.ndarray | None = None  # sorted hashes, unbucketed, of features that toxic texts have more often
+    odds: np.ndarray | None = None  # their log odds among toxic texts against others
+    toxic_bar: float = np.inf  # greatest evidence of a document that does not count as toxic
+
+    def evidence(self, texts: list[str | None]) -> np.ndarray:
+        """The largest log odds of each text's features: one toxic word counts the same in a long text."""
+        out = np.zeros(len(texts))
+        if self.toxic is not None and len(self.toxic):
+            doc, h = hashes(texts)
+            at = np.minimum(np.searchsorted(self.toxic, h), len(self.toxic) - 1)
+            hit = self.toxic[at] == h
+            np.maximum.at(out, doc[hit], self.odds[at[hit]])
+        return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         """Mean log ratio of each text's features, NaN without any."""
@@ -81,6 +102,9 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 20_000, smoothing: f
     """
     good_rule = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
     good, bad = labelled_ids(labels, good_rule, labelled), labelled_ids(labels, ~good_rule, labelled)
+    toxic, harmless = labelled_ids(labels, F.col("toxic") == 1, labelled), labelled_ids(labels, F.col("toxic") == 0, labelled)
+    half = lambda ids: (mix(ids.astype(np.uint64)) & np.uint64(1)).astype(bool)
+    toxic_half, harmless_half, toxic_rest = toxic[half(toxic)], harmless[half(harmless)], toxic[~half(toxic)]
     counted_half = (mix(good.astype(np.uint64)) & np.uint64(1)).astype(bool)
     goal, good = good[counted_half], good[~counted_half]
 
@@ -104,19 +128,49 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 20_000, smoothing: f
     model = Model(ratio, float((ratio * target).sum() / target.sum()), -np.inf)
     if not len(bad):
         return model
+    if len(toxic_half) and len(harmless_half):
+        model.toxic, model.odds = toxic_features(docs, toxic_half, harmless_half)
     sample = np.union1d(good, bad)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = (c.to_pylist() for c in batch.columns)
             at = np.flatnonzero(member(ids, sample))
-            yield pa.RecordBatch.from_arrays([pa.array(member([ids[i] for i in at], good)), pa.array(model.score([texts[i] for i in at]))], ["good", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(member([ids[i] for i in at], good)), pa.array(member([ids[i] for i in at], toxic_rest)), pa.array(model.score([texts[i] for i in at])), pa.array(model.evidence([texts[i] for i in at]))], ["good", "toxic", "score", "evidence"])
 
-    seen = docs.select("doc_id", "text").mapInArrow(score, "good boolean, score double").toPandas()
+    seen = docs.select("doc_id", "text").mapInArrow(score, "good boolean, toxic boolean, score double, evidence double").toPandas()
     model.bar = bar(seen["score"][seen["good"]].to_numpy(), seen["score"][~seen["good"]].to_numpy(), keep)
+    if model.toxic is not None:
+        # ``bar`` takes what is large as good
+        model.toxic_bar = -bar(-seen["evidence"][seen["good"]].to_numpy(), -seen["evidence"][seen["toxic"]].to_numpy(), keep)
     return model
 
 
+def toxic_features(docs: DataFrame, toxic: np.ndarray, harmless: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features of two toxic texts at least that are more frequent there, and their log odds; texts are counted."""
+    both = np.union1d(toxic, harmless)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = (c.to_pylist() for c in batch.columns)
+            at = np.flatnonzero(member(ids, both))
+            ids, texts = [ids[i] for i in at], [texts[i] for i in at]
+            for a, b in chunks(texts):
+                doc, h = hashes(texts[a:b])
+                order = np.lexsort((h, doc))
+                doc, h = doc[order], h[order]
+                new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])])[: len(h)]
+                bad = member(ids[a:b], toxic)[doc[new]]
+                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(bad.astype(np.int64)), pa.array((~bad).astype(np.int64))], ["h", "toxic", "harmless"])
+
+    odds = F.log((F.col("toxic") + 1) / (F.col("harmless") * (len(toxic) / len(harmless)) + 1))
+    found = docs.select("doc_id", "text").mapInArrow(run, "h long, toxic long, harmless long").groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("harmless").alias("harmless"))
+    found = found.where(F.col("toxic") >= 2).select("h", odds.alias("odds")).where("odds > 0").toPandas()
+    h = found["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], found["odds"].to_numpy(np.float64)[order]
+
+
 def bar(good: np.ndarray, bad: np.ndarray, keep: float) -> float:
     good, bad = np.sort(good[~np.isnan(good)]), np.sort(bad[~np.isnan(bad)])
     if not len(good) or not len(bad):
@@ -135,7 +189,7 @@ def weigh(docs: DataFrame, model: Model, concentration: float = 1000.0) -> DataF
         at = kept.index("text")
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            scores = np.concatenate([model.score(texts[a:b]) for a, b in chunks(texts)]) if texts else np.zeros(0)
+            scores = np.concatenate([np.where(model.evidence(texts[a:b]) > model.toxic_bar, np.nan, model.score(texts[a:b])) for a, b in chunks(texts)]) if texts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores * concentration, mask=np.isnan(scores))], [*kept, "log_weight"])
 
     uniform = (F.pmod(F.xxhash64(F.lit("gumbel"), "doc_id", "text"), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))

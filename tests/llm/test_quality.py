@@ -58,3 +58,12 @@ def test_edges(spark, make_docs):
     assert quality.resample(make_docs([]), none).count() == 0
     odd = spark.createDataFrame([(None, 1, 0), (3, None, None), (4, 0, None)], "doc_id long, quality int, toxic int")
     assert quality.resample(docs, odd).count() == 5
+
+
+def test_toxic_documents_go(spark):
+    """At sf0.1: half of the toxic labels are learned from, and sf0.01 has about twenty of them."""
+    sf = "/root/testdata/sf0.1"
+    rows = {r.doc_id for r in queries.op5_importance_resampling(spark, sf).collect()}
+    toxic = [r.doc_id for r in table(spark, sf, "labels").collect() if r.quality == 1 and r.toxic == 1]
+    held_out = [i for i in toxic if not int(hashing.mix(np.array([i], np.uint64))[0]) & 1]
+    assert len(held_out) > 5 and sum(i in rows for i in held_out) < 0.1 * len(held_out)
