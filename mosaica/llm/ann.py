@@ -1,15 +1,25 @@
 """Nearest neighbours by additive quantisation.
 
-A vector is coded as the sum of one full-dimensional word from each of ``books`` codebooks.  Codebooks are
-trained on a sample (documented bound ``sample``): k-means on residuals, then one least-squares refit of all
-words to beam-search codes.  Every vector is indexed: a beam search picks its words, and its norm and that of
-its reconstruction are stored.  A query's table of inner products with all words gives an estimate for each
-code by ``books`` look-ups, scaled by the stored norms; the ``rerank`` best of each block of the index are scored
-exactly in double precision.
-
-The index is a table of blocks of ``BLOCK`` distinct vectors with their codes, so a search is blocks of queries
-against blocks of codes, dealt evenly whatever the vectors.  Equal vectors are coded once with their smallest
-ids, of which no query can need more than ``k`` + 1; they are collected inside partitions first.
+A vector is coded as the sum of one full-dimensional word from each of several codebooks.  The words of the first,
+coarse, book name the lists of the index; their number grows with the square root of the vectors.  The others hold 256
+words each and are trained on what is left: k-means on residuals, then one least-squares refit of all their words to
+beam-search codes.  Training uses a sample (documented bound ``sample``), the vectors of the smallest hashes.  Every
+vector is indexed: a beam search over all books picks its words, and its norm and that of its reconstruction are
+stored.  A query's table of inner products with all words gives an estimate for each code by look-ups, scaled by the
+stored norms; the ``rerank`` best of each list (of each block, where a list is long) are scored exactly in double
+precision.
+
+A query probes the lists whose coarse words have the largest inner products with it.  How many, is measured: for
+``CALIBRATION`` queries the exact neighbours are found among all vectors in one pass, and the number of probes is the
+least that reaches ``recall`` of them.  Vectors in clusters need a few lists of many; directions drawn evenly in many
+dimensions (no structure to prune by) need a share of them all.
+
+Lists longer than ``BLOCK`` are dealt into blocks by a hash of the vector, and the queries of a list that many ask
+into parts, so no key is large, and the answer does not depend on partitions.  One shuffle brings blocks and queries
+together, sorted so that a block comes before its queries: a task holds one block and one batch of queries.
+
+Equal vectors are coded once with their smallest ids, of which no query can need more than ``k`` + 1; equal
+queries are searched once.
 
 Edge cases: vectors that are null, zero, of another length than most, or hold null or non-finite components
 take no part, nor do rows without id; a repeated id is one row for each different vector; ties go to the smaller id; fewer
@@ -23,74 +33,97 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaica.llm.common import partitions, save
+from mosaica.llm.common import discard, save
 
+#: Vectors of a list, and queries of a list, that one task holds together.
 BLOCK = 8192
-QUERIES = 2048
+QUERIES = 65536
+#: Lists at most, and queries whose exact neighbours say how many of them are probed.
+LISTS = 4096
+CALIBRATION = 256
+#: Queries that are scored at once.
+STEP = 64
 RESULT = "query_id long, rank int, vec_id long, score double"
+ROW = "key long, query boolean, id long, v binary, ids array<long>, code binary"
 
 
 @dataclass
 class Codebooks:
+    coarse: np.ndarray  # lists, dimensions
     words: np.ndarray  # books, words, dimensions
 
-    def encode(self, x: np.ndarray, beam: int = 4) -> np.ndarray:
-        """Beam search over the codebooks: at each, the best continuations of all kept prefixes go on."""
-        books, k, dims = self.words.shape
-        out = np.zeros((len(x), books), np.uint8)
-        for a in range(0, len(x), 2048):
-            left = x[a : a + 2048][:, None, :].astype(np.float32)
-            codes = np.zeros((len(left), 1, 0), np.uint8)
-            for book in self.words:
+    def encode(self, x: np.ndarray, beam: int = 4) -> tuple[np.ndarray, np.ndarray]:
+        """(list, codes) by a beam search: at each book, the best continuations of all kept prefixes go on."""
+        lists, out = np.zeros(len(x), np.int64), np.zeros((len(x), len(self.words)), np.uint8)
+        for a in range(0, len(x), 1024):
+            left = x[a : a + 1024][:, None, :].astype(np.float32)
+            codes = np.zeros((len(left), 1, 0), np.int32)
+            for book in (self.coarse, *self.words):
+                k, dims = book.shape
                 error = (left * left).sum(2)[:, :, None] - 2 * (left.reshape(-1, dims) @ book.T).reshape(len(left), -1, k) + (book * book).sum(1)
                 flat = error.reshape(len(left), -1)
                 keep = min(beam, flat.shape[1])
                 best = np.argpartition(flat, keep - 1, axis=1)[:, :keep] if keep < flat.shape[1] else np.broadcast_to(np.arange(keep), (len(left), keep))
                 parent, word = best // k, best % k
-                codes = np.concatenate([np.take_along_axis(codes, parent[:, :, None], 1), word[:, :, None].astype(np.uint8)], 2)
+                codes = np.concatenate([np.take_along_axis(codes, parent[:, :, None], 1), word[:, :, None].astype(np.int32)], 2)
                 left = np.take_along_axis(left, parent[:, :, None], 1) - book[word]
-            out[a : a + 2048] = codes[np.arange(len(left)), (left * left).sum(2).argmin(1)]
+            final = codes[np.arange(len(left)), (left * left).sum(2).argmin(1)]
+            lists[a : a + 1024], out[a : a + 1024] = final[:, 0], final[:, 1:]
+        return lists, out
+
+    def decode(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        out = self.coarse[lists]
+        for m, book in enumerate(self.words):
+            out = out + book[codes[:, m]]
         return out
 
-    def decode(self, codes: np.ndarray) -> np.ndarray:
-        return sum(book[codes[:, m]] for m, book in enumerate(self.words))
-
 
 def sums(near: np.ndarray, x: np.ndarray, words: int) -> np.ndarray:
     """Sum of the rows of ``x`` that go to each word."""
-    chosen = np.zeros((words, len(x)), np.float32)
-    chosen[near, np.arange(len(x))] = 1
-    return chosen @ x
+    out = np.zeros((words, x.shape[1]), np.float32)
+    np.add.at(out, near, x)
+    return out
+
+
+def nearest(x: np.ndarray, words: np.ndarray) -> np.ndarray:
+    half = (words * words).sum(1) / 2
+    return np.concatenate([(half - x[a : a + 4096] @ words.T).argmin(1) for a in range(0, len(x), 4096)])
+
+
+def k_means(x: np.ndarray, words: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    c = x[rng.choice(len(x), words, replace=False)].copy()
+    for _ in range(rounds):
+        near = nearest(x, c)
+        n = np.bincount(near, minlength=words)
+        c[n > 0] = sums(near, x, words)[n > 0] / n[n > 0, None]
+    return c
 
 
-def train(x: np.ndarray, books: int, words: int, rounds: int = 6, seed: int = 10) -> Codebooks:
+def train(x: np.ndarray, lists: int, books: int, words: int, rounds: int = 6, seed: int = 10) -> Codebooks:
     rng, x, made = np.random.default_rng(seed), x.astype(np.float32), []
-    left, words = x.copy(), min(words, len(x))
+    coarse = k_means(x, min(lists, len(x)), rounds, rng)
+    left, words = x - coarse[nearest(x, coarse)], min(words, len(x))
     for _ in range(books):
-        c = left[rng.choice(len(left), words, replace=False)].copy()
-        for r in range(rounds + 1):
-            near = ((c * c).sum(1) - 2 * left @ c.T).argmin(1)
-            if r < rounds:
-                n = np.bincount(near, minlength=words)
-                c[n > 0] = sums(near, left, words)[n > 0] / n[n > 0, None]
-        left -= c[near]
+        c = k_means(left, words, rounds, rng)
+        left = left - c[nearest(left, c)]
         made.append(c)
-    first = Codebooks(np.stack(made))
-    codes = first.encode(x).astype(np.int64)  # now refit all words at once to beam-search codes
+    first = Codebooks(coarse, np.stack(made))
+    at, codes = first.encode(x)  # now refit all words at once to beam-search codes
+    codes, rest = codes.astype(np.int64), x - coarse[at]
     gram, right = np.zeros((books, words, books, words), np.float32), np.zeros((books, words, x.shape[1]), np.float32)
     for m in range(books):
-        right[m] = sums(codes[:, m], x, words)
+        right[m] = sums(codes[:, m], rest, words)
         for n in range(m, books):
             both = np.bincount(codes[:, m] * words + codes[:, n], minlength=words * words).reshape(words, words)
             gram[m, :, n], gram[n, :, m] = both, both.T
     gram, right, start = gram.reshape(books * words, -1), right.reshape(books * words, -1), first.words.reshape(books * words, -1)
-    refit = start + np.linalg.solve(gram + 0.1 * np.eye(books * words, dtype=np.float32), right - gram @ start)
-    second = Codebooks(refit.reshape(first.words.shape).astype(np.float32))
-    errors = ((x - first.decode(codes)) ** 2).sum(), ((x - second.decode(second.encode(x))) ** 2).sum()
+    right = right - gram @ start
+    gram[np.diag_indices(len(gram))] += 0.1
+    second = Codebooks(coarse, (start + np.linalg.solve(gram, right)).reshape(first.words.shape).astype(np.float32))
+    errors = ((x - first.decode(at, codes)) ** 2).sum(), ((x - second.decode(*second.encode(x))) ** 2).sum()
     return second if errors[1] < errors[0] else first
 
 
@@ -108,8 +141,16 @@ def matrix(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
 
 
-def build(good: DataFrame, dims: int, k: int, books: int, words: int, sample: int) -> tuple[DataFrame, Codebooks | None]:
-    """The index (g int, ids/counts/codes/scale/vectors binary) over every distinct vector, and its codebooks."""
+def stacked(column: pa.Array, kind: str) -> np.ndarray:
+    """Binary cells of one length as rows of a matrix."""
+    if not len(column):
+        return np.zeros((0, 0), kind)
+    joined = b"".join(column.to_pylist())
+    return np.frombuffer(joined, kind).reshape(len(column), -1)
+
+
+def distinct_vectors(good: DataFrame, dims: int, most: int) -> DataFrame:
+    """(v binary, ids) of every different vector; ids are its ``most`` smallest, gathered inside batches first."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,97 +158,180 @@ def build(good: DataFrame, dims: int, k: int, books: int, words: int, sample: in
             own: dict[bytes, list[int]] = {}
             for i, row in zip(ids.tolist(), raw + 0.0, strict=True):  # + 0.0: one zero
                 own.setdefault(row.tobytes(), []).append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array([sorted(set(v))[: k + 1] for v in own.values()], pa.list_(pa.int64()))], ["v", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array([sorted(set(v))[:most] for v in own.values()], pa.list_(pa.int64()))], ["v", "ids"])
 
     part = good.mapInArrow(gather, "v binary, ids array<long>")
-    distinct = save(part.groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids")))
-    drawn = distinct.select("v", F.xxhash64("v").alias("h")).orderBy("h", "v").limit(sample).select("v").collect()
-    if not drawn:
-        return distinct, None
-    made = train(np.frombuffer(b"".join(bytes(r.v) for r in drawn), np.float64).reshape(-1, dims), books, words)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, waiting, n = TaskContext.get().partitionId(), [], 0
-
-        def block() -> pa.RecordBatch:
-            x = np.frombuffer(b"".join(v for b in waiting for v in b.column(0).to_pylist()), np.float64).reshape(-1, dims)
-            ids = [i for b in waiting for i in b.column(1).to_pylist()]
-            codes = made.encode(x)
-            norm, back = np.linalg.norm(x, axis=1), np.linalg.norm(made.decode(codes), axis=1)
-            cells = [np.array([i for v in ids for i in v], np.int64), np.array([len(v) for v in ids], np.int64), codes, np.stack([norm, back]).astype(np.float32), x]
-            return pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in cells)], ["g", "ids", "counts", "codes", "norms", "vectors"])
+    return part.groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, most).alias("ids"))
+
+
+def encoded(distinct: DataFrame, made: Codebooks) -> DataFrame:
+    """(list, h, v, ids, code): ``code`` holds both norms and the words of the residual books."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = stacked(batch.column(0), "<f8")
+            lists, codes = made.encode(x)
+            norms = np.stack([np.linalg.norm(x, axis=1), np.linalg.norm(made.decode(lists, codes), axis=1)], 1).astype("<f4")
+            raw = np.concatenate([norms.view(np.uint8).reshape(len(x), 8), codes], 1)
+            yield pa.RecordBatch.from_arrays([pa.array(lists), batch.column(2), batch.column(0), batch.column(1), pa.array([r.tobytes() for r in raw], pa.binary())], ["list", "h", "v", "ids", "code"])
+
+    return distinct.select("v", "ids", F.xxhash64("v").alias("h")).mapInArrow(run, "list long, h long, v binary, ids array<long>, code binary")
+
+
+def order_of_lists(query: np.ndarray, coarse: np.ndarray) -> np.ndarray:
+    """Lists by falling inner product of their words with each query; ties to the smaller list."""
+    return np.argsort(-(query.astype(np.float32) @ coarse.T), axis=1, kind="stable")
+
+
+def probes_for(index: DataFrame, sample: np.ndarray, coarse: np.ndarray, k: int, recall: float) -> int:
+    """The least number of lists that hold ``recall`` of the exact neighbours of the sampled queries."""
+    n = len(sample)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, where = np.full((n, 0), -np.inf), np.zeros((n, 0), np.int64)
         for batch in batches:
-            for a in range(0, batch.num_rows, BLOCK):
-                waiting.append(batch.slice(a, BLOCK))
-                n += waiting[-1].num_rows
-                if n >= BLOCK:
-                    yield block()
-                    waiting, n = [], 0
-        if n:
-            yield block()
-
-    return save(distinct.mapInArrow(encode, "g int, ids binary, counts binary, codes binary, norms binary, vectors binary")), made
-
-
-def best(query: np.ndarray, own: np.ndarray, block: dict, made: Codebooks, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query index, vec_id, score) of the k best of a block for each query."""
-    dims = query.shape[1]
-    codes = np.frombuffer(block["codes"], np.uint8).reshape(-1, len(made.words))
-    norm, back = np.frombuffer(block["norms"], np.float32).reshape(2, -1)
-    vectors = np.frombuffer(block["vectors"], np.float64).reshape(-1, dims)
-    ids, counts = np.frombuffer(block["ids"], np.int64), np.frombuffer(block["counts"], np.int64)
-    first = np.cumsum(counts) - counts
-    tables = [book @ query.T.astype(np.float32) for book in made.words]  # words by queries
-    estimate = np.zeros((len(codes), len(query)), np.float32)
-    for m, table in enumerate(tables):
-        estimate += table[codes[:, m]]
-    estimate *= (norm / np.maximum(back, 1e-12))[:, None]
+            if not batch.num_rows:
+                continue
+            lists, x = batch.column(0).to_numpy(), stacked(batch.column(1), "<f8")
+            for a in range(0, len(x), 4096):
+                score = np.concatenate([score, sample @ x[a : a + 4096].T], 1)
+                where = np.concatenate([where, np.broadcast_to(lists[a : a + 4096], (n, len(lists[a : a + 4096])))], 1)
+                keep = np.argsort(-score, axis=1, kind="stable")[:, : k + 1]
+                score, where = np.take_along_axis(score, keep, 1), np.take_along_axis(where, keep, 1)
+        times = score.shape[1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(n), times)), pa.array(score.ravel()), pa.array(np.ascontiguousarray(where).ravel())], ["q", "score", "list"])
+
+    per = index.select("list", "v").mapInArrow(run, "q long, score double, list long")
+    best = per.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "list"))), 1, k + 1).alias("best")).collect()
+    place = np.argsort(order_of_lists(sample, coarse), axis=1)  # the turn in which a list is probed
+    turns = np.sort(np.array([place[r.q, b["list"]] for r in best for b in r.best], np.int64))
+    return int(turns[max(0, int(np.ceil(recall * len(turns))) - 1)]) + 1 if len(turns) else 1
+
+
+def best(query: np.ndarray, block: tuple, made: Codebooks, at: int, k: int, rerank: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(vec_ids, scores) of the ``k`` best of a block for each query."""
+    vectors, ids, counts, norm, back, codes = block
+    estimate = np.repeat((query.astype(np.float32) @ made.coarse[at])[:, None], len(codes), 1)
+    for m, book in enumerate(made.words):
+        estimate += (query.astype(np.float32) @ book.T)[:, codes[:, m]]
+    estimate *= norm / np.maximum(back, 1e-12)
     keep = min(rerank, len(codes))
-    top = np.argpartition(-estimate, keep - 1, axis=0)[:keep].T if keep < len(codes) else np.broadcast_to(np.arange(len(codes)), (len(query), len(codes)))
-    where, found, scores = [], [], []
+    top = np.argpartition(-estimate, keep - 1, axis=1)[:, :keep] if keep < len(codes) else np.broadcast_to(np.arange(len(codes)), (len(query), len(codes)))
+    first, out = np.cumsum(counts) - counts, []
     for q in range(len(query)):
-        at = top[q]
-        exact = (vectors[at] * query[q]).sum(1)
-        rows = np.repeat(np.arange(len(at)), counts[at])
-        every = ids[first[at][rows] + np.arange(len(rows)) - np.repeat(np.cumsum(counts[at]) - counts[at], counts[at])]
-        rows, every = rows[every != own[q]], every[every != own[q]]
+        chosen = top[q]
+        exact = (vectors[chosen] * query[q]).sum(1)
+        n = counts[chosen]
+        rows = np.repeat(np.arange(len(chosen)), n)
+        every = ids[first[chosen][rows] + np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)]
         order = np.lexsort((every, -exact[rows]))[:k]
-        where.append(np.full(len(order), q))
-        found.append(every[order])
-        scores.append(exact[rows[order]])
-    return np.concatenate(where), np.concatenate(found), np.concatenate(scores)
+        out.append((every[order], exact[rows[order]]))
+    return out
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", books: int = 16, words: int = 256, sample: int = 8_192, rerank: int = 256) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", books: int = 15, words: int = 256, sample: int = 32_768, rerank: int = 48, recall: float = 0.98) -> DataFrame:
     """The ``k`` rows found nearest to each of ``queries`` (rows of the same table) by inner product."""
     spark = rows.sparkSession
     good, dims = usable(rows, vec_id, vector)
     asked, asked_dims = usable(queries, vec_id, vector)
-    index, made = build(good, dims, k, books, words, sample) if dims else (None, None)
-    if made is None or asked_dims != dims:
+    if not dims or asked_dims != dims:
         return spark.createDataFrame([], RESULT)
+    distinct = save(distinct_vectors(good, dims, k + 1))
+    lists = min(LISTS, max(1, round(distinct.count() ** 0.5)))
+    drawn = distinct.select("v", F.xxhash64("v").alias("h")).orderBy("h", "v").limit(min(sample, max(8192, 16 * lists))).select("v").collect()
+    made = train(np.frombuffer(b"".join(bytes(r.v) for r in drawn), np.float64).reshape(-1, dims), lists, books, words)
+    index = save(encoded(distinct, made))
+    discard(distinct)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = [r.tobytes() for r in matrix(batch.column(1), dims) + 0.0]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.binary())], ["query_id", "v"])
+
+    wanted = save(asked.mapInArrow(keyed, "query_id long, v binary").distinct())
+    asks = save(wanted.select("v").distinct().withColumn("id", F.monotonically_increasing_id()))
+    few = asks.select("v", F.xxhash64("v").alias("h")).orderBy("h", "v").limit(CALIBRATION).select("v").collect()
+    probes = probes_for(index, np.frombuffer(b"".join(bytes(r.v) for r in few), np.float64).reshape(-1, dims), made.coarse, k, recall)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = len(made.coarse)
+    length = {r.list: r.n for r in index.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a number for each list
+    blocks = np.array([-(-length.get(i, 0) // BLOCK) for i in range(total)], np.int64)
+
+    def turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, QUERIES):
-                part = batch.slice(a, QUERIES)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([matrix(part.column(1), dims).tobytes()], pa.binary())], ["own", "query"])
+            if batch.num_rows:
+                hit = order_of_lists(stacked(batch.column(0), "<f8"), made.coarse)[:, :probes]
+                n = np.bincount(hit.ravel(), minlength=total)
+                yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], ["list", "n"])
 
-    groups = [r.g for r in index.select("g").distinct().collect()]  # a number for each partition of the index
-    packed = asked.distinct().mapInArrow(pack, "own binary, query binary").withColumn("g", F.explode(F.array(*(F.lit(g).cast("int") for g in groups))))
+    popular = {r.list: r.n for r in asks.select("v").mapInArrow(turns, "list long, n long").groupBy("list").agg(F.sum("n").alias("n")).collect()}
+    parts = np.array([max(1, -(-popular.get(i, 0) // QUERIES)) for i in range(total)], np.int64)
+    first = np.concatenate([[0], np.cumsum(blocks * parts)])  # keys of list i: first[i] + block * parts[i] + part
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A vector's row for each part of its list's queries (one, but for lists that very many queries ask)."""
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            block = batch.column(1).to_numpy() % np.maximum(blocks[at], 1)
+            row = np.repeat(np.arange(len(at)), parts[at])
+            part = np.arange(len(row)) - np.repeat(np.cumsum(parts[at]) - parts[at], parts[at])
+            key = first[at[row]] + block[row] * parts[at[row]] + part
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.zeros(len(row), bool)), pa.array(at[row]), batch.column(2).take(take), batch.column(3).take(take), batch.column(4).take(take)], ["key", "query", "id", "v", "ids", "code"])
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A query's row for each block of the lists that it probes."""
+        for whole in batches:
+            for a in range(0, whole.num_rows, 512):
+                batch = whole.slice(a, 512)
+                hit = order_of_lists(stacked(batch.column(1), "<f8"), made.coarse)[:, :probes]
+                ids, at = np.repeat(batch.column(0).to_numpy(), hit.shape[1]), hit.ravel()
+                row = np.repeat(np.arange(len(at)), blocks[at])
+                block = np.arange(len(row)) - np.repeat(np.cumsum(blocks[at]) - blocks[at], blocks[at])
+                key = first[at[row]] + block * parts[at[row]] + ids[row] % parts[at[row]]
+                n = len(row)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.ones(n, bool)), pa.array(ids[row]), batch.column(1).take(pa.array(row // hit.shape[1] if n == len(at) else np.repeat(np.arange(batch.num_rows), hit.shape[1])[row])), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.binary())], ["key", "query", "id", "v", "ids", "code"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks, each followed by its queries."""
+        now, waiting, block, at = None, [], None, 0
         for batch in batches:
-            for row in range(batch.num_rows):
-                block = {n: batch.column(n)[row].as_py() for n in batch.schema.names}
-                own, query = np.frombuffer(block["own"], np.int64), np.frombuffer(block["query"], np.float64).reshape(-1, dims)
-                for a in range(0, len(query), 256):
-                    q, i, s = best(query[a : a + 256], own[a : a + 256], block, made, k, rerank)
-                    yield pa.RecordBatch.from_arrays([pa.array(own[a : a + 256][q]), pa.array(i), pa.array(s), pa.array(np.full(len(q), block["g"] % 32, np.int32))], ["query_id", "vec_id", "score", "part"])
-
-    found = save(index.join(packed, "g").mapInArrow(run, "query_id long, vec_id long, score double, part int"), 4)
-    for keys in (("query_id", "part"), ("query_id",)):  # the best of a few blocks, then of all
-        entry = F.struct((-F.col("score")).alias("negative"), F.col("vec_id"))
-        found = found.groupBy(*keys).agg(F.slice(F.array_sort(F.array_distinct(F.collect_list(entry))), 1, k).alias("best")).select(*keys, F.posexplode("best").alias("place", "at")).select(*keys, "place", F.col("at.vec_id").alias("vec_id"), (-F.col("at.negative")).alias("score"))
-    return found.select("query_id", (F.col("place") + 1).cast("int").alias("rank"), "vec_id", "score")
+            keys, query = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            edge = np.flatnonzero((np.diff(keys) != 0) | (np.diff(query.view(np.int8)) != 0)) + 1
+            for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(keys)], strict=True):
+                if a == b:
+                    continue
+                if keys[a] != now:
+                    now, waiting, block = keys[a], [], None
+                if not query[a]:
+                    waiting.append(batch.slice(a, b - a))
+                    continue
+                if block is None:
+                    held = pa.Table.from_batches(waiting).combine_chunks() if waiting else None
+                    if held is None:
+                        continue
+                    code = stacked(held["code"], np.uint8)
+                    norms = np.ascontiguousarray(code[:, :8]).view("<f4")
+                    lists = held["ids"].combine_chunks()
+                    counts = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+                    block = stacked(held["v"], "<f8"), lists.flatten().to_numpy(), counts, norms[:, 0], norms[:, 1], code[:, 8:]
+                    at, waiting = int(held["id"][0].as_py()), []
+                for c in range(a, b, STEP):
+                    part = batch.slice(c, min(STEP, b - c))
+                    found = best(stacked(part.column(3), "<f8"), block, made, at, k + 1, rerank)
+                    size = np.array([len(i) for i, _ in found])
+                    offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+                    entries = pa.StructArray.from_arrays([pa.array(-np.concatenate([s for _, s in found])), pa.array(np.concatenate([i for i, _ in found]))], ["negative", "vec_id"])
+                    yield pa.RecordBatch.from_arrays([part.column(2), pa.ListArray.from_arrays(offsets, entries)], ["id", "best"])
+
+    both = index.select("list", "h", "v", "ids", "code").mapInArrow(place, ROW).unionAll(asks.select("id", "v").mapInArrow(route, ROW))
+    dealt = both.repartition(F.col("key")).sortWithinPartitions("key", "query")
+    found = dealt.mapInArrow(scan, "id long, best array<struct<negative:double,vec_id:long>>")
+    top = save(found.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k + 1).alias("best")))
+    discard(index)
+    answers = wanted.join(asks, "v").join(top, "id").select("query_id", F.expr(f"slice(filter(best, x -> x.vec_id <> query_id), 1, {int(k)})").alias("best"))
+    # an id of several vectors asks with each: its best of all
+    per_id = answers.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k).alias("best"))
+    return per_id.select("query_id", F.posexplode("best").alias("place", "at")).select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("at.vec_id").alias("vec_id"), (-F.col("at.negative")).alias("score"))

@@ -61,6 +61,6 @@ def test_few(spark, n):
 
 def test_beam_beats_greedy():
     x = np.random.default_rng(1).normal(size=(400, 8))
-    made = ann.train(x, 4, 16)
-    errors = [((x - made.decode(made.encode(x, beam=b))) ** 2).sum() for b in (1, 8)]
+    made = ann.train(x, 8, 3, 16)
+    errors = [((x - made.decode(*made.encode(x, beam=b))) ** 2).sum() for b in (1, 8)]
     assert errors[1] < errors[0] < (x**2).sum() / 4
