@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mosaica.llm.common import chunks, partitions, text_chunks
-from mosaica.llm.hashing import byte_hashes
 
 SCHEMA = "doc_id long, part int, part_start long, n_tokens int, ids array<int>"
 #: Words that one worker remembers; it starts anew when they are more.
@@ -38,8 +37,8 @@ class CachedEncoder:
 
     Vocabularies with word ends drop white space and encode each pre-split word on its own.  Texts of Latin-1
     characters, where all Unicode versions agree, are put in lower case and split here, many at once: bytes of one
-    class are a word (a digit is one of its own), each different word is looked up once by a 128-bit hash, and unknown words
-    go to the library many at a time.  Any other text (other characters, an apostrophe that may begin a contraction,
+    class are a word (a digit is one of its own), each different word of a piece is looked up once (an Arrow dictionary
+    tells them apart), and unknown words go to the library many at a time.  Any other text (other characters, an apostrophe that may begin a contraction,
     control characters, a special token) goes to the library as a whole.
     """
 
@@ -54,7 +53,7 @@ class CachedEncoder:
         characters = [chr(c) for c in range(256)]
         self.kind = np.array([0 if c in "\t\n\x0b\x0c\r \x85\xa0" else {"L": 1, "N": 2}.get(unicodedata.category(c)[0], 3) for c in characters], np.uint8)
         self.lower = np.array([ord(c.lower()) for c in characters], np.uint8)
-        self.table: dict[int, tuple[int, bytes]] = {}
+        self.table: dict[bytes, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -78,30 +77,29 @@ class CachedEncoder:
         raw = [t.encode("latin-1") for t in texts]
         data = self.lower[np.frombuffer(b"\n".join([*raw, b""]), np.uint8)]
         kind = self.kind[data]
-        apart = kind[1:] != kind[:-1]
-        begin = np.flatnonzero((kind > 0) & (np.concatenate([[True], apart]) | (kind == 2)))
-        end = np.flatnonzero((kind > 0) & (np.concatenate([apart, [True]]) | (kind == 2))) + 1
-        one, two = byte_hashes(data, begin, end)
-        values, first, word = np.unique(one, return_index=True, return_inverse=True)
-        if not np.array_equal(two[first][word], two):  # words of equal hashes: as good as never
-            return self._whole(texts)
+        inside, opens = kind > 0, kind == 2
+        opens[:1] = True
+        opens[1:] |= kind[1:] != kind[:-1]
+        opens = opens[inside]
+        offsets = np.append(np.flatnonzero(opens), len(opens)).astype(np.int32)  # the words' bytes alone, one behind the other
+        words = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
         table = self.table
         if len(table) > CACHE_WORDS:
             table.clear()
-        keys, check = values.tolist(), two[first].tolist()
-        new = [i for i, (k, c) in enumerate(zip(keys, check, strict=True)) if k not in table or table[k][0] != c]
-        flat = data.tobytes()
-        fresh = self._words([flat[b:e].decode("latin-1") for b, e in zip(begin[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
-        table.update((keys[i], (check[i], ids)) for i, ids in zip(new, fresh, strict=True))
-        parts = [table[k][1] for k in keys]
+        keys = words.dictionary.to_pylist()
+        new = [k for k in keys if k not in table]
+        table.update(zip(new, self._words([k.decode("latin-1") for k in new]), strict=True))
+        parts = [table[k] for k in keys]
         ids = np.frombuffer(b"".join(parts), "<u4")
         size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         start = np.cumsum(size) - size
+        word = words.indices.to_numpy()
         n = size[word]
         behind = np.cumsum(n)
-        out = ids[np.repeat(start[word] - (behind - n), n) + np.arange(n.sum())].tobytes()
+        out = ids[np.repeat(start[word] - (behind - n), n) + np.arange(int(n.sum()))].tobytes()
         base = np.cumsum([0, *(len(r) + 1 for r in raw)])
-        edge = np.concatenate([[0], 4 * behind])[np.searchsorted(begin, base)].tolist()
+        inner = np.concatenate([[0], np.cumsum(inside)])[base]  # bytes of words before each text
+        edge = np.concatenate([[0], 4 * behind])[np.searchsorted(offsets[:-1], inner)].tolist()
         return [out[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
@@ -140,17 +138,40 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, path: str, files
     spark = docs.sparkSession
     ordered = docs.select("doc_id", "text").repartitionByRange(files or partitions(spark), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     (ordered.mapInArrow(run, SCHEMA).write.option("orc.bloom.filter.columns", "doc_id").option("orc.create.index", "true").option("orc.row.index.stride", str(index_rows)).option("orc.stripe.size", str(stripe_mb << 20)).option("compression", "zstd").orc(path))
+    # the manifest: what a look-up has to know before it opens any file (Spark's readers pass over names that begin with _)
+    rows = spark.read.schema(SCHEMA).orc(path).select("doc_id", "part", F.col("part_start"), "n_tokens", F.input_file_name().alias("file"))
+    files_of = rows.groupBy("part", "file").agg(F.count("*").alias("rows"), F.max(F.col("part_start") + F.col("n_tokens")).alias("total"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count_if(F.col("doc_id").isNull()).alias("null_ids"))
+    before = F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files_of.withColumn("before", before).drop("total").coalesce(1).write.parquet(f"{path}/_manifest")
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """A row a file: part, file, rows, first_id, last_id, null_ids, and ``before``, the ids in the files before it."""
+    return spark.read.schema("part int, file string, rows long, first_id long, last_id long, null_ids long, before long").parquet(f"{path}/_manifest")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """The files' documents with ``start``: all ids before a document, over all files.
 
-    A filter on ``doc_id`` reaches the files' metadata.  ``start`` comes from a row a file, broadcast.
+    A filter on ``doc_id`` reaches the files' metadata.  ``start`` comes from the manifest, a row a file, broadcast.
     """
     rows = spark.read.schema(SCHEMA).orc(path)
-    totals = rows.groupBy("part").agg(F.max(F.col("part_start") + F.col("n_tokens")).alias("total"))
-    before = totals.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return rows.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("part_start")).alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"), "ids")
+    return started(rows, manifest(spark, path))
+
+
+def look_up(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """``read_tokens`` of some ids: only the files whose range holds one of them are opened."""
+    wanted = sorted(set(doc_ids))
+    files = manifest(spark, path)
+    ranges = F.exists(F.array(*map(F.lit, wanted)), lambda i: i.between(F.col("first_id"), F.col("last_id"))) if wanted else F.lit(False)
+    held = [r.file for r in files.where(ranges).select("file").collect()]  # at most a file or two an id
+    if not held:
+        return read_tokens(spark, path).limit(0)
+    return started(spark.read.schema(SCHEMA).orc(held).where(F.col("doc_id").isin(wanted)), files)
+
+
+def started(rows: DataFrame, files: DataFrame) -> DataFrame:
+    return rows.join(F.broadcast(files.select("part", "before")), "part").select("doc_id", (F.col("before") + F.col("part_start")).alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"), "ids")
 
 
 def crc_rows(tokens: DataFrame) -> DataFrame:

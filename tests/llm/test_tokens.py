@@ -73,3 +73,42 @@ def test_empty_table(spark, make_docs):
     token_files.write_tokens(make_docs([]), public_tokenizers.path(WORD_BPE), END_ID, path)
     assert token_files.crc_rows(token_files.read_tokens(spark, path)).count() == 0
     assert bpe.round_trip(make_docs([]), public_tokenizers.path(BYTE_BPE)).count() == 0
+
+
+def test_metadata_of_files(spark, make_docs, tmp_path):
+    """Stripes, row indexes and Bloom filters are in the files; a look-up opens one file."""
+    path = scratch_dir(spark)
+    docs = [(i, f"word {i} " + "text of some length " * 60) for i in range(0, 60000, 3)]
+    token_files.write_tokens(make_docs(docs), public_tokenizers.path(WORD_BPE), END_ID, path, files=3, stripe_mb=0, index_rows=1000)
+    files = sorted(token_files.manifest(spark, path).collect(), key=lambda r: r.part)
+    assert len(files) == 3 and sum(r.rows for r in files) == len(docs)
+    assert [r.before for r in files] == sorted({r.before for r in files}) and files[0].before == 0
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(files[0].file), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+    assert reader.getRowIndexStride() == 1000 and reader.getStripes().size() > 1
+    every = gateway.new_array(jvm.boolean, 7)
+    for i in range(7):
+        every[i] = True
+    index = reader.rows().readRowIndex(0, every, every)
+    blooms = index.getBloomFilterIndex()
+    assert blooms[1] is not None and blooms[1].getBloomFilterCount() >= 1 and blooms[2] is None
+    import pyarrow.orc
+
+    whole = pyarrow.orc.ORCFile(files[0].file.removeprefix("file://"))
+    stripes = [whole.read_stripe(i, ["doc_id"]).num_rows for i in range(whole.nstripes)]  # each on its own
+    assert sum(stripes) == files[0].rows
+    found = token_files.look_up(spark, path, [3, 30, 31])
+    assert len(found.inputFiles()) >= 1 and sum(f.endswith(".orc") for f in found.inputFiles()) == 1
+    want = {r.doc_id: r.start for r in token_files.read_tokens(spark, path).collect()}
+    assert {r.doc_id: r.start for r in found.collect()} == {i: want[i] for i in (3, 30)}
+    assert token_files.look_up(spark, path, []).count() == token_files.look_up(spark, path, [10**9]).count() == 0
+
+
+def test_very_long_text(spark, make_docs):
+    lib, path = library(WORD_BPE), scratch_dir(spark)
+    text = "".join(f"Word{i % 977} isn't, {i} " for i in range(150_000))  # some MB
+    token_files.write_tokens(make_docs([(1, text), (2, "x" * 200_000)]), public_tokenizers.path(WORD_BPE), END_ID, path)
+    got = {r.doc_id: r.ids for r in token_files.read_tokens(spark, path).collect()}
+    assert got[1] == [*lib.encode(text, add_special_tokens=False).ids, END_ID]
+    assert got[2] == [*lib.encode("x" * 200_000, add_special_tokens=False).ids, END_ID]
