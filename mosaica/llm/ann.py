@@ -1,7 +1,7 @@
 """Nearest neighbours by additive quantisation.
 
 A vector is coded as the sum of one full-dimensional word from each of several codebooks.  The words of the first,
-coarse, book name the lists of the index; their number grows with the square root of the vectors.  The others hold 256
+coarse, book name the lists of the index; one for each ``IN_LIST`` vectors up to ``LISTS``.  The others hold 256
 words each and are trained on what is left: k-means on residuals, then one least-squares refit of all their words to
 beam-search codes.  Training uses a sample (documented bound ``sample``), the vectors of the smallest hashes.  Every
 vector is indexed: a beam search over all books picks its words, and its norm and that of its reconstruction are
@@ -33,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +42,10 @@ from mosaica.llm.common import discard, save
 #: Vectors of a list, and queries of a list, that one task holds together.
 BLOCK = 8192
 QUERIES = 65536
-#: Lists at most, and queries whose exact neighbours say how many of them are probed.
+#: Vectors of a list on average, until there are as many lists as ``LISTS``.
+IN_LIST = 1024
 LISTS = 4096
+#: Queries whose exact neighbours say how many lists are probed.
 CALIBRATION = 256
 #: Queries that are scored at once.
 STEP = 64
@@ -210,28 +213,35 @@ def probes_for(index: DataFrame, sample: np.ndarray, coarse: np.ndarray, k: int,
     return int(turns[max(0, int(np.ceil(recall * len(turns))) - 1)]) + 1 if len(turns) else 1
 
 
-def best(query: np.ndarray, block: tuple, made: Codebooks, at: int, k: int, rerank: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(vec_ids, scores) of the ``k`` best of a block for each query."""
+def best(query: np.ndarray, block: tuple, made: Codebooks, at: int, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entries of each query, vec_ids, scores): the ``k`` best of a block, whose rows are in the order of their ids."""
     vectors, ids, counts, norm, back, codes = block
-    estimate = np.repeat((query.astype(np.float32) @ made.coarse[at])[:, None], len(codes), 1)
+    low = query.astype(np.float32)
+    estimate = np.repeat((low @ made.coarse[at])[:, None], len(codes), 1)
     for m, book in enumerate(made.words):
-        estimate += (query.astype(np.float32) @ book.T)[:, codes[:, m]]
+        estimate += (low @ book.T).take(codes[:, m], axis=1)
     estimate *= norm / np.maximum(back, 1e-12)
     keep = min(rerank, len(codes))
     top = np.argpartition(-estimate, keep - 1, axis=1)[:, :keep] if keep < len(codes) else np.broadcast_to(np.arange(len(codes)), (len(query), len(codes)))
-    first, out = np.cumsum(counts) - counts, []
-    for q in range(len(query)):
-        chosen = top[q]
-        exact = (vectors[chosen] * query[q]).sum(1)
-        n = counts[chosen]
-        rows = np.repeat(np.arange(len(chosen)), n)
-        every = ids[first[chosen][rows] + np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)]
-        order = np.lexsort((every, -exact[rows]))[:k]
-        out.append((every[order], exact[rows[order]]))
-    return out
-
-
-def search(rows: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", books: int = 15, words: int = 256, sample: int = 32_768, rerank: int = 48, recall: float = 0.98) -> DataFrame:
+    top = np.sort(top, axis=1)
+    exact = np.einsum("qrd,qd->qr", vectors[top], query)
+    order = np.argsort(-exact, axis=1, kind="stable")[:, :k]  # equal scores: the smaller id first
+    top, exact = np.take_along_axis(top, order, 1), np.take_along_axis(exact, order, 1)
+    first = np.cumsum(counts) - counts
+    if (counts[top] == 1).all():
+        return np.full(len(query), top.shape[1]), ids[first[top]].ravel(), exact.ravel()
+    size, found, scores = [], [], []
+    for q in range(len(query)):  # vectors with several ids
+        rows = np.repeat(np.arange(top.shape[1]), counts[top[q]])
+        every = np.concatenate([ids[first[p] : first[p] + counts[p]] for p in top[q]])
+        order = np.lexsort((every, -exact[q][rows]))[:k]
+        size.append(len(order))
+        found.append(every[order])
+        scores.append(exact[q][rows[order]])
+    return np.array(size), np.concatenate(found), np.concatenate(scores)
+
+
+def search(rows: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", books: int = 15, words: int = 256, sample: int = 32_768, rerank: int = 64, recall: float = 0.98) -> DataFrame:
     """The ``k`` rows found nearest to each of ``queries`` (rows of the same table) by inner product."""
     spark = rows.sparkSession
     good, dims = usable(rows, vec_id, vector)
@@ -239,7 +249,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_
     if not dims or asked_dims != dims:
         return spark.createDataFrame([], RESULT)
     distinct = save(distinct_vectors(good, dims, k + 1))
-    lists = min(LISTS, max(1, round(distinct.count() ** 0.5)))
+    lists = min(LISTS, max(1, distinct.count() // IN_LIST))
     drawn = distinct.select("v", F.xxhash64("v").alias("h")).orderBy("h", "v").limit(min(sample, max(8192, 16 * lists))).select("v").collect()
     made = train(np.frombuffer(b"".join(bytes(r.v) for r in drawn), np.float64).reshape(-1, dims), lists, books, words)
     index = save(encoded(distinct, made))
@@ -309,9 +319,10 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_
                     waiting.append(batch.slice(a, b - a))
                     continue
                 if block is None:
-                    held = pa.Table.from_batches(waiting).combine_chunks() if waiting else None
-                    if held is None:
+                    if not waiting:
                         continue
+                    held = pa.Table.from_batches(waiting)
+                    held = held.take(np.argsort(pc.list_element(held["ids"], 0).to_numpy(), kind="stable")).combine_chunks()
                     code = stacked(held["code"], np.uint8)
                     norms = np.ascontiguousarray(code[:, :8]).view("<f4")
                     lists = held["ids"].combine_chunks()
@@ -320,10 +331,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_
                     at, waiting = int(held["id"][0].as_py()), []
                 for c in range(a, b, STEP):
                     part = batch.slice(c, min(STEP, b - c))
-                    found = best(stacked(part.column(3), "<f8"), block, made, at, k + 1, rerank)
-                    size = np.array([len(i) for i, _ in found])
+                    size, found, scores = best(stacked(part.column(3), "<f8"), block, made, at, k + 1, rerank)
                     offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
-                    entries = pa.StructArray.from_arrays([pa.array(-np.concatenate([s for _, s in found])), pa.array(np.concatenate([i for i, _ in found]))], ["negative", "vec_id"])
+                    entries = pa.StructArray.from_arrays([pa.array(-scores), pa.array(found)], ["negative", "vec_id"])
                     yield pa.RecordBatch.from_arrays([part.column(2), pa.ListArray.from_arrays(offsets, entries)], ["id", "best"])
 
     both = index.select("list", "h", "v", "ids", "code").mapInArrow(place, ROW).unionAll(asks.select("id", "v").mapInArrow(route, ROW))

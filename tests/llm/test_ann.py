@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +65,27 @@ def test_beam_beats_greedy():
     made = ann.train(x, 8, 3, 16)
     errors = [((x - made.decode(*made.encode(x, beam=b))) ** 2).sum() for b in (1, 8)]
     assert errors[1] < errors[0] < (x**2).sum() / 4
+
+
+def test_many_vectors_in_any_partitioning(spark):
+    """50,000 vectors in clusters, a third of them in one: recall, and the same answer for other partitions and without AQE."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(200, 16))
+    which = np.where(rng.random(50_000) < 1 / 3, 0, rng.integers(1, 200, 50_000))
+    x = (centres[which] + 0.3 * rng.normal(size=(50_000, 16))).astype(np.float32)
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(50_000), "embedding": list(x)}), "vec_id long, embedding array<float>")
+    asked = frame.where(F.col("vec_id") % 500 == 0)
+
+    def found(rows):
+        return {(r.query_id, r["rank"]): r.vec_id for r in ann.search(rows, asked).collect()}
+
+    got = found(frame.repartition(3))
+    want = brute(list(enumerate(x.tolist())), [(i, x[i].tolist()) for i in range(0, 50_000, 500)], 20)
+    hits = sum(len({got[q, r] for r in range(1, 21)} & set(w)) for q, w in want.items())
+    assert hits >= 0.9 * 20 * len(want)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        again = found(frame.repartition(7))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(again[k] != v for k, v in got.items()) <= 2  # sums of floats may differ in the last place
