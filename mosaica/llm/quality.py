@@ -2,21 +2,19 @@
 
 Features are words, marks and pairs of neighbours, hashed into ``BUCKETS``; a pair of equal words is one
 feature.  Two multinomial models are counted: of the target (labelled rows of good quality that are not toxic, a
-sample bounded by ``labelled``) and of the raw text (every document).  The log importance weight of a document is
-
-    concentration * (sum of log p_target / p_raw + prior * mean_target) / (n + prior)
-
-per feature, drawn towards the target's own mean for texts of a few words.  The sample has ``k`` documents: as
-many as have a weight that labelled good rows have too (a bar fitted on the labelled sample).  A text whose largest feature
+sample bounded by ``labelled``) and of the raw text (every document).  The log importance weight of a document is the
+log ratio of its likelihoods, the sum of log p_target / p_raw over its features.  A text whose largest feature
 evidence for toxicity (log odds of a feature among labelled toxic texts against others) is beyond a bar has weight
-zero: one toxic word is enough, however long the text.  Gumbel noise, a
-hash of id and text, is added to the weights and the ``k`` largest stay: a draw without replacement in proportion
-to the weights that any retry repeats.
+zero: one toxic word is enough, however long the text.
+
+Gumbel noise, a hash of seed, id and text, is added to the log weights and the ``k`` largest stay: a draw without
+replacement in proportion to the weights that any retry repeats.  Without a ``k`` as many are drawn as have a weight
+that labelled good rows have too (a bar fitted on labelled rows that the model has not counted).
 
-Edge cases: a null text, one with no feature, and a toxic one have weight zero and is never drawn; a null id is drawn like
+Edge cases: a null text, one with no feature, and a toxic one have weight zero and are never drawn; a null id is drawn like
 any other; equal rows have equal keys and rows that tie with the last drawn one are all drawn; without labels all
 weights are equal and every document with a feature is drawn; an empty table gives no rows; other columns are
-kept, and names that clash with results are replaced.
+kept; columns that clash with ``log_weight`` and ``gumbel_key`` are replaced by ``resample`` and kept by ``drawn``.
 """
 
 from __future__ import annotations
@@ -26,10 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mosaica.llm.common import chunks, save
+from mosaica.llm.common import save, text_chunks
 from mosaica.llm.hashing import grams, mix, split_words
 
 BUCKETS = 1 << 16
@@ -56,9 +55,7 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Model:
     ratio: np.ndarray  # log p_target - log p_raw of each bucket
-    mean: float  # of a feature of the target
     bar: float  # least score of a document that counts as good
-    prior: float = 20.0
     toxic: np.ndarray | None = None  # sorted hashes, unbucketed, of features that toxic texts have more often
     odds: np.ndarray | None = None  # their log odds among toxic texts against others
     toxic_bar: float = np.inf  # greatest evidence of a document that does not count as toxic
@@ -74,11 +71,10 @@ class Model:
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        """Mean log ratio of each text's features, NaN without any."""
+        """The log ratio of each text's likelihoods, NaN without any feature."""
         doc, bucket = features(texts)
-        n = np.bincount(doc, minlength=len(texts))
         total = np.bincount(doc, self.ratio[bucket], minlength=len(texts))
-        return np.where(n > 0, (total + self.prior * self.mean) / (n + self.prior), np.nan)
+        return np.where(np.bincount(doc, minlength=len(texts)) > 0, total, np.nan)
 
 
 def labelled_ids(labels: DataFrame, good: Column, limit: int) -> np.ndarray:
@@ -87,18 +83,17 @@ def labelled_ids(labels: DataFrame, good: Column, limit: int) -> np.ndarray:
     return np.sort(np.array([r.doc_id for r in rows.collect()], np.int64))
 
 
-def member(ids: list, sample: np.ndarray) -> np.ndarray:
-    own = np.array([-1 if i is None else i for i in ids], np.int64)
-    null = np.array([i is None for i in ids], bool)
-    return np.isin(own, sample) & ~null
+def member(ids: pa.Array, sample: np.ndarray) -> np.ndarray:
+    return np.isin(pc.fill_null(ids, 0).to_numpy(), sample) & ids.is_valid().to_numpy(zero_copy_only=False)
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = 20_000, smoothing: float = 4.0, keep: float = 0.995) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = 20_000, smoothing: float = 256.0, keep: float = 0.99, keep_harmless: float = 0.995, margin: float = 4.0) -> Model:
     """Counts raw text over all documents and the target over the labelled sample, then sets the bar.
 
     Half of the labelled rows, by a hash of the id, is the target; the other half sets the bar, as rows that the
     model has counted score higher than others.  The bar keeps at least ``keep`` of the good rows; among such
-    bars it parts good from bad best.
+    bars it parts good from bad best.  It is lowered by ``margin``, three deviations of the Gumbel noise, so that the
+    noise seldom takes a good row.
     """
     good_rule = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
     good, bad = labelled_ids(labels, good_rule, labelled), labelled_ids(labels, ~good_rule, labelled)
@@ -111,38 +106,40 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 20_000, smoothing: f
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            ids, texts = (c.to_pylist() for c in batch.columns)
-            for a, b in chunks(texts):
-                doc, bucket = features(texts[a:b])
+            own = member(batch.column(0), goal)
+            for a, texts in text_chunks(batch.column(1)):
+                doc, bucket = features(texts)
                 raw += np.bincount(bucket, minlength=BUCKETS)
-                target += np.bincount(bucket[member(ids[a:b], goal)[doc]], minlength=BUCKETS)
+                target += np.bincount(bucket[own[a : a + len(texts)][doc]], minlength=BUCKETS)
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
 
-    counted = docs.select("doc_id", "text").mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    counted = rows.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[counted["bucket"]], target[counted["bucket"]] = counted["raw"], counted["target"]
     if not target.sum():
-        return Model(np.zeros(BUCKETS), 0.0, -np.inf)
+        return Model(np.zeros(BUCKETS), -np.inf)
     ratio = np.log((target + smoothing) / (raw * target.sum() / raw.sum() + smoothing))
-    model = Model(ratio, float((ratio * target).sum() / target.sum()), -np.inf)
+    model = Model(ratio, -np.inf)
     if not len(bad):
         return model
     if len(toxic_half) and len(harmless_half):
-        model.toxic, model.odds = toxic_features(docs, toxic_half, harmless_half)
+        model.toxic, model.odds = toxic_features(rows, toxic_half, harmless_half)
     sample = np.union1d(good, bad)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = (c.to_pylist() for c in batch.columns)
-            at = np.flatnonzero(member(ids, sample))
-            yield pa.RecordBatch.from_arrays([pa.array(member([ids[i] for i in at], good)), pa.array(member([ids[i] for i in at], toxic_rest)), pa.array(model.score([texts[i] for i in at])), pa.array(model.evidence([texts[i] for i in at]))], ["good", "toxic", "score", "evidence"])
-
-    seen = docs.select("doc_id", "text").mapInArrow(score, "good boolean, toxic boolean, score double, evidence double").toPandas()
-    model.bar = bar(seen["score"][seen["good"]].to_numpy(), seen["score"][~seen["good"]].to_numpy(), keep)
+        for whole in batches:
+            batch = whole.filter(pa.array(member(whole.column(0), sample)))
+            for a, texts in text_chunks(batch.column(1)):
+                ids = batch.column(0).slice(a, len(texts))
+                yield pa.RecordBatch.from_arrays([pa.array(member(ids, good)), pa.array(member(ids, toxic_rest)), pa.array(model.score(texts)), pa.array(model.evidence(texts))], ["good", "toxic", "score", "evidence"])
+
+    seen = rows.mapInArrow(score, "good boolean, toxic boolean, score double, evidence double").toPandas()
+    model.bar = bar(seen["score"][seen["good"]].to_numpy(), seen["score"][~seen["good"]].to_numpy(), keep) - margin
     if model.toxic is not None:
         # ``bar`` takes what is large as good
-        model.toxic_bar = -bar(-seen["evidence"][seen["good"]].to_numpy(), -seen["evidence"][seen["toxic"]].to_numpy(), keep)
+        model.toxic_bar = -bar(-seen["evidence"][seen["good"]].to_numpy(), -seen["evidence"][seen["toxic"]].to_numpy(), keep_harmless)
     return model
 
 
@@ -151,20 +148,18 @@ def toxic_features(docs: DataFrame, toxic: np.ndarray, harmless: np.ndarray) ->
     both = np.union1d(toxic, harmless)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = (c.to_pylist() for c in batch.columns)
-            at = np.flatnonzero(member(ids, both))
-            ids, texts = [ids[i] for i in at], [texts[i] for i in at]
-            for a, b in chunks(texts):
-                doc, h = hashes(texts[a:b])
+        for whole in batches:
+            batch = whole.filter(pa.array(member(whole.column(0), both)))
+            for a, texts in text_chunks(batch.column(1)):
+                doc, h = hashes(texts)
                 order = np.lexsort((h, doc))
                 doc, h = doc[order], h[order]
                 new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])])[: len(h)]
-                bad = member(ids[a:b], toxic)[doc[new]]
+                bad = member(batch.column(0).slice(a, len(texts)), toxic)[doc[new]]
                 yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(bad.astype(np.int64)), pa.array((~bad).astype(np.int64))], ["h", "toxic", "harmless"])
 
     odds = F.log((F.col("toxic") + 1) / (F.col("harmless") * (len(toxic) / len(harmless)) + 1))
-    found = docs.select("doc_id", "text").mapInArrow(run, "h long, toxic long, harmless long").groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("harmless").alias("harmless"))
+    found = docs.mapInArrow(run, "h long, toxic long, harmless long").groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("harmless").alias("harmless"))
     found = found.where(F.col("toxic") >= 2).select("h", odds.alias("odds")).where("odds > 0").toPandas()
     h = found["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
@@ -180,20 +175,30 @@ def bar(good: np.ndarray, bad: np.ndarray, keep: float) -> float:
     return float(tries[np.argmax(caught - lost)])
 
 
-def weigh(docs: DataFrame, model: Model, concentration: float = 1000.0) -> DataFrame:
-    """``docs`` with ``log_weight`` and ``gumbel_key``; weight zero is null."""
-    kept = [c for c in docs.columns if c not in RESULTS]
-    schema = docs.select(*kept, F.lit(None).cast("double").alias("log_weight")).schema
+def gumbel(log_weight: Column, *key: Column | str) -> Column:
+    """``log_weight`` with Gumbel noise that is a hash of ``key``."""
+    uniform = (F.pmod(F.xxhash64(F.lit("gumbel"), *key), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
+    return log_weight - F.log(-F.log(uniform))
+
+
+def weigh(docs: DataFrame, model: Model, columns: list[str] | None = None, seed: int = 0) -> DataFrame:
+    """(row, struct of ``columns`` but for text; text, if among them; log_weight; gumbel_key); weight zero is null."""
+    columns = docs.columns if columns is None else columns
+    with_text = "text" in columns
+    rest = F.struct(*([F.col(c) for c in columns if c != "text"] or [F.lit(None).cast("int").alias("none")])).alias("row")
+    noise = gumbel(F.lit(0.0), F.lit(seed), "doc_id", "text").alias("noise")
+    rows = docs.select(rest, noise, F.col("text").cast("string").alias("text"))
+    schema = rows.select("row", "noise", *["text"] * with_text, F.lit(None).cast("double").alias("log_weight")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = kept.index("text")
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            scores = np.concatenate([np.where(model.evidence(texts[a:b]) > model.toxic_bar, np.nan, model.score(texts[a:b])) for a, b in chunks(texts)]) if texts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores * concentration, mask=np.isnan(scores))], [*kept, "log_weight"])
+            for a, texts in text_chunks(batch.column(2)):
+                scores = np.where(model.evidence(texts) > model.toxic_bar, np.nan, model.score(texts))
+                part = batch.slice(a, len(texts))
+                yield pa.RecordBatch.from_arrays([*part.columns[: 2 + with_text], pa.array(scores, mask=np.isnan(scores))], schema.names)
 
-    uniform = (F.pmod(F.xxhash64(F.lit("gumbel"), "doc_id", "text"), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
-    return docs.select(*kept).mapInArrow(run, schema).withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform)))
+    made = rows.mapInArrow(run, schema)
+    return made.select("row", *["text"] * with_text, "log_weight", (F.col("log_weight") + F.col("noise")).alias("gumbel_key"))
 
 
 def kth_largest(keys: DataFrame, column: str, k: int, bins: int = 1024, enough: int = 10_000) -> float | None:
@@ -220,10 +225,24 @@ def kth_largest(keys: DataFrame, column: str, k: int, bins: int = 1024, enough:
     return values[k - above - 1]
 
 
-def resample(docs: DataFrame, labels: DataFrame, labelled: int = 20_000, concentration: float = 1000.0) -> DataFrame:
-    """The drawn rows of ``docs``, with ``log_weight`` and ``gumbel_key``."""
+def draw(docs: DataFrame, labels: DataFrame, labelled: int, columns: list[str], k: int | None, seed: int) -> DataFrame:
+    """The drawn rows of ``weigh``."""
     model = fit(docs, labels, labelled)
-    weighed = save(weigh(docs, model, concentration))
-    k = weighed.where(F.col("log_weight") >= F.lit(model.bar * concentration)).count()
+    weighed = save(weigh(docs, model, columns, seed))
+    if k is None:
+        k = weighed.where(F.col("log_weight") >= F.lit(model.bar)).count()
     least = kth_largest(weighed, "gumbel_key", k)
     return weighed.where(F.col("gumbel_key") >= F.lit(least)) if least is not None else weighed.limit(0)
+
+
+def resample(docs: DataFrame, labels: DataFrame, labelled: int = 20_000, columns: list[str] | None = None, k: int | None = None, seed: int = 0) -> DataFrame:
+    """The drawn rows of ``docs`` (``columns`` of them), with ``log_weight`` and ``gumbel_key``."""
+    columns = [c for c in (docs.columns if columns is None else columns) if c not in RESULTS]
+    out = draw(docs, labels, labelled, columns, k, seed)
+    return out.select(*(F.col(c) if c == "text" else F.col("row")[c].alias(c) for c in columns), *RESULTS)
+
+
+def drawn(docs: DataFrame, labels: DataFrame, labelled: int = 20_000, k: int | None = None, seed: int = 0) -> DataFrame:
+    """The drawn rows of ``docs``, as they are."""
+    out = draw(docs, labels, labelled, docs.columns, k, seed)
+    return out.select(*(F.col(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))

@@ -37,7 +37,7 @@ def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the quality models draw."""
-    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "log_weight", "gumbel_key")
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), columns=["doc_id"])
 
 
 def op6_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,10 @@
+import math
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mosaica.llm import hashing, quality, queries
 from mosaica.llm.common import table
@@ -30,16 +35,56 @@ def test_draw_keeps_good_rejects_bad(spark):
     assert sum(i in rows for i in bad) < 0.05 * len(bad)
 
 
-def test_model_against_brute_force(spark, make_docs):
-    docs = make_docs([(1, "a b"), (2, "a b c"), (3, "c !! c"), (4, "c c c")])
-    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 0, 0), (4, 1, 1)], "doc_id long, quality int, toxic int")
-    model = quality.fit(docs, labels)
-    goal = [i for i in (1, 2) if int(hashing.mix(np.array([i], np.uint64))[0]) & 1]
-    texts = {1: "a b", 2: "a b c", 3: "c !! c", 4: "c c c"}
-    raw = np.bincount(quality.features(list(texts.values()))[1], minlength=quality.BUCKETS)
-    target = np.bincount(quality.features([texts[i] for i in goal])[1], minlength=quality.BUCKETS)
-    if target.sum():
-        assert np.allclose(model.ratio, np.log((target + 4) / (raw * target.sum() / raw.sum() + 4)))
+def own_features(text):
+    """Words, marks and pairs of neighbours, as text: a plain form of what ``features`` hashes."""
+    parts = re.findall(r"[A-Za-z0-9_\x80-\U0010ffff]+|[^A-Za-z0-9_\x80-\U0010ffff \t\n\x0b\x0c\r]+", text or "")
+    return [*parts, *(("equal",) if a == b else (a, b) for a, b in zip(parts, parts[1:], strict=False))]
+
+
+def test_result_against_brute_force(spark):
+    """At sf0.01: weights, bar and draw, from features that are no hashes."""
+    docs, labels = table(spark, SF, "documents").collect(), table(spark, SF, "labels").collect()
+    half = {r.doc_id: bool(int(hashing.mix(np.array([r.doc_id], np.uint64))[0]) & 1) for r in labels}
+    good = {r.doc_id for r in labels if r.quality == 1 and not r.toxic}
+    goal = {i for i in good if half[i]}
+    assert len(goal) > 50
+    raw, target = Counter(), Counter()
+    for r in docs:
+        f = own_features(r.text)
+        raw.update(f)
+        if r.doc_id in goal:
+            target.update(f)
+    share = sum(target.values()) / sum(raw.values())
+    weight = {r.doc_id: sum(math.log((target[x] + 256) / (raw[x] * share + 256)) for x in f) for r in docs if (f := own_features(r.text))}
+    got = {r.doc_id: r for r in queries.op5_importance_resampling(spark, SF).collect()}
+    near = [abs(got[i].log_weight - weight[i]) for i in got]
+    assert np.quantile(near, 0.9) < 3 and np.median(near) < 0.6  # buckets are shared by some features
+    bad = {r.doc_id for r in labels} - good
+    bar = quality.bar(np.array([weight[i] for i in good if not half[i] and i in weight]), np.array([weight[i] for i in bad if i in weight]), 0.99) - 4
+    kept = {i for i, w in weight.items() if w >= bar}
+    toxic = {r.doc_id for r in labels if r.toxic}
+    assert len((kept ^ set(got)) - toxic) < 0.05 * len(weight)
+
+
+def test_gumbel_draws_by_weight(spark):
+    """Over many seeds a row is drawn first as often as its share of the weights says, and second as often among the rest."""
+    weights, seeds = [1.0, 2.0, 4.0, 8.0], 4000
+    rows = spark.createDataFrame([(i, math.log(w)) for i, w in enumerate(weights)], "doc_id long, log_weight double").crossJoin(spark.range(seeds).withColumnRenamed("id", "seed"))
+    order = rows.withColumn("key", quality.gumbel(F.col("log_weight"), "seed", "doc_id")).groupBy("seed").agg(F.reverse(F.array_sort(F.collect_list(F.struct("key", "doc_id")))).alias("o")).select(F.col("o.doc_id")[0].alias("a"), F.col("o.doc_id")[1].alias("b")).collect()
+    first, both = Counter(r.a for r in order), Counter((r.a, r.b) for r in order)
+    for i, w in enumerate(weights):
+        assert abs(first[i] / seeds - w / 15) < 0.03
+        for j, v in enumerate(weights):
+            if i != j:
+                assert abs(both[i, j] / seeds - w / 15 * v / (15 - w)) < 0.03
+
+
+def test_seed_and_k(spark, make_docs):
+    """The noise decides among near weights: other seeds draw other rows, ``k`` of them."""
+    docs = make_docs([(i, f"some words {i % 7}") for i in range(60)])
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    draws = [{r.doc_id for r in quality.resample(docs, none, k=20, seed=s).collect()} for s in range(3)]
+    assert all(len(d) == 20 for d in draws) and draws[0] != draws[1] != draws[2]
 
 
 @pytest.mark.parametrize("k", [1, 2, 37, 500, 999, 1000, 2000])
@@ -58,6 +103,8 @@ def test_edges(spark, make_docs):
     assert quality.resample(make_docs([]), none).count() == 0
     odd = spark.createDataFrame([(None, 1, 0), (3, None, None), (4, 0, None)], "doc_id long, quality int, toxic int")
     assert quality.resample(docs, odd).count() == 5
+    as_they_are = quality.drawn(docs.withColumn("log_weight", F.lit("mine")).withColumn("row", F.lit("too")), none)
+    assert as_they_are.columns == [*docs.columns, "row"] and {(r.log_weight, r.row) for r in as_they_are.collect()} == {("mine", "too")}
 
 
 def test_toxic_documents_go(spark):
