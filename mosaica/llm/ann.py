@@ -339,7 +339,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_
     both = index.select("list", "h", "v", "ids", "code").mapInArrow(place, ROW).unionAll(asks.select("id", "v").mapInArrow(route, ROW))
     dealt = both.repartition(F.col("key")).sortWithinPartitions("key", "query")
     found = dealt.mapInArrow(scan, "id long, best array<struct<negative:double,vec_id:long>>")
-    top = save(found.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k + 1).alias("best")))
+    top = save(found.groupBy("id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k + 1).alias("best")))
     discard(index)
     answers = wanted.join(asks, "v").join(top, "id").select("query_id", F.expr(f"slice(filter(best, x -> x.vec_id <> query_id), 1, {int(k)})").alias("best"))
     # an id of several vectors asks with each: its best of all

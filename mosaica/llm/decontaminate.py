@@ -166,8 +166,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """``docs`` without contaminated texts."""
-    bad = contaminated(docs, benchmark, coverage).select(F.col("text_hash").alias("_text_hash"), F.col("doc_id").alias("_doc_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.xxhash64("text") == F.col("_text_hash")), "left_anti")
+    bad = contaminated(docs, benchmark, coverage).select(F.col("text_hash").alias("bad_hash"), F.col("doc_id").alias("bad_id")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"))  # whatever columns there are
+    return rows.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.col("text_hash") == F.col("bad_hash")), "left_anti").select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def oracle(coverage: float = COVERAGE) -> str:

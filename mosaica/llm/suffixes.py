@@ -248,9 +248,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 def cut(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages cut but for one place each; documents of which nothing is left go."""
     nodes = nodes_of(docs)
-    gone = merged(repeats(suffix_rows(nodes))).where("not kept").groupBy("node").agg(F.collect_list(F.struct("start", "end")).alias("_cut"))
-    parts = nodes.select("node", "t1", "t2", F.col("doc").alias("_first")).join(gone, "node", "left").where("_cut is not null").drop("node").unionByName(nodes.where("copies > 1").select("t1", "t2", F.col("doc").alias("_first"), F.lit(None).cast("array<struct<start:int,end:int>>").alias("_cut")))
-    parts = parts.groupBy("t1", "t2").agg(F.min("_first").alias("_first"), F.first("_cut", ignorenulls=True).alias("_cut"))
+    gone = merged(repeats(suffix_rows(nodes))).where("not kept").groupBy("node").agg(F.collect_list(F.struct("start", "end")).alias("cut"))
+    parts = nodes.select("node", "t1", "t2", F.col("doc").alias("first")).join(gone, "node", "left").where("cut is not null").drop("node").unionByName(nodes.where("copies > 1").select("t1", "t2", F.col("doc").alias("first"), F.lit(None).cast("array<struct<start:int,end:int>>").alias("cut")))
+    parts = parts.groupBy("t1", "t2").agg(F.min("first").alias("first"), F.first("cut", ignorenulls=True).alias("cut"))
     columns, schema = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +279,8 @@ def cut(docs: DataFrame) -> DataFrame:
                 made[columns.index("n_chars")] = pa.array([len(t) if (s or x) and t is not None else n for t, s, x, n in zip(texts, spans, later, old, strict=True)], made[columns.index("n_chars")].type)
             yield pa.RecordBatch.from_arrays(made, columns).filter(pa.array(keep, pa.bool_()))
 
-    t1, t2 = text_key()
-    rows = docs.select("*", t1.alias("_t1"), t2.alias("_t2")).join(parts.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "_first", "_cut"), ["_t1", "_t2"], "left")
-    later = F.col("_first").isNotNull() & (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) != F.col("_first"))
-    return rows.select(*columns, "_cut", F.coalesce(later, F.lit(False)).alias("_later")).mapInArrow(run, schema)
+    place = {c: f"c{i}" for i, c in enumerate(columns)}  # names that no column of ours has
+    mine = docs.select(*(F.col(c).alias(place[c]) for c in columns), *text_key())
+    rows = mine.join(parts, ["t1", "t2"], "left")
+    later = F.col("first").isNotNull() & (F.coalesce(F.col(place["doc_id"]).cast("long"), F.lit(LAST)) != F.col("first"))
+    return rows.select(*place.values(), "cut", F.coalesce(later, F.lit(False)).alias("later")).mapInArrow(run, schema)

@@ -82,17 +82,18 @@ def derive(records: DataFrame) -> DataFrame:
     end = F.instr("block", "\r\n\r\n")
     body = F.when(end > 0, F.expr("substring(block, instr(block, '\r\n\r\n') + 4)")).otherwise(F.col("block"))
     head = F.when(end > 0, F.expr("substring(block, 1, instr(block, '\r\n\r\n') - 1)")).otherwise("")
-    source = records.where("record_type = 'response'").select(*extra, F.col("record_id").alias("refers_to"), "target_uri", "date", "payload_digest", head.alias("_head"), body.alias("_body"))
-    title = plain_text(F.regexp_extract("_body", TITLE, 1))
-    links = F.regexp_extract_all("_body", F.lit(LINK), F.lit(1))
-    fields = F.concat(F.lit("title: "), title, F.lit("\r\nhttp-headers: "), F.regexp_replace("_head", "\r\n", "; "), F.lit("\r\nsource-digest: "), F.coalesce("payload_digest", F.lit("")), F.lit("\r\n"), F.array_join(F.transform(links, lambda x: F.concat(F.lit("outlink: "), x, F.lit("\r\n"))), ""))
+    place = {c: f"c{i}" for i, c in enumerate(extra)}  # names that no column of ours has
+    source = records.where("record_type = 'response'").select(*(F.col(c).alias(place[c]) for c in extra), F.col("record_id").alias("refers_to"), "target_uri", "date", "payload_digest", head.alias("head"), body.alias("body"))
+    title = plain_text(F.regexp_extract("body", TITLE, 1))
+    links = F.regexp_extract_all("body", F.lit(LINK), F.lit(1))
+    fields = F.concat(F.lit("title: "), title, F.lit("\r\nhttp-headers: "), F.regexp_replace("head", "\r\n", "; "), F.lit("\r\nsource-digest: "), F.coalesce("payload_digest", F.lit("")), F.lit("\r\n"), F.array_join(F.transform(links, lambda x: F.concat(F.lit("outlink: "), x, F.lit("\r\n"))), ""))
     made = F.array(
         F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
-        F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), plain_text(F.col("_body")).alias("block")),
+        F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), plain_text(F.col("body")).alias("block")),
     )
-    rows = source.select(*extra, "refers_to", "target_uri", "date", "payload_digest", F.explode(made).alias("_made")).select(*extra, "refers_to", "target_uri", "date", "payload_digest", "_made.*")
+    rows = source.select(*place.values(), "refers_to", "target_uri", "date", "payload_digest", F.explode(made).alias("made")).select(*place.values(), "refers_to", "target_uri", "date", "payload_digest", "made.*")
     return rows.select(
-        *extra, urn(F.col("record_type"), F.col("refers_to")).alias("record_id"), "record_type", "refers_to", "target_uri", "date", "content_type", "payload_digest",
+        *(F.col(place[c]).alias(c) for c in extra), urn(F.col("record_type"), F.col("refers_to")).alias("record_id"), "record_type", "refers_to", "target_uri", "date", "content_type", "payload_digest",
         sha(F.col("block")).alias("block_digest"), F.octet_length("block").cast("long").alias("content_length"), "block",
     )
 

@@ -68,3 +68,12 @@ def test_values_of_other_shape(spark, make_docs):
 def test_folded_tokens(spark):
     row = spark.range(1).select(F.lit("Then Mary Ann Lee paid 1,234.50 and 7, 8 or 9 , 3 km").alias("t")).select(dc.tokens(dc.view(dc.marked(F.col("t")), "folded")).alias("t")).first()
     assert [x.strip("\x01\x02\x03") for x in row.t] == ["then", "mary\x02ann\x02lee", "paid", "1\x01\x01234\x01\x0150", "and", "7", "8", "or", "9", "3", "km"]
+
+
+def test_clashing_columns(spark, make_docs):
+    bench = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
+    docs = make_docs([(1, QUESTION), (None, QUESTION), (2, "clean words"), (None, None), (2, "clean words")])
+    more = docs.select("*", *(F.lit("mine").alias(c) for c in ("_doc_id", "_text_hash", "bad_id", "bad_hash", "text_hash", "row", "mark", "key", "pos", "item_id", "family")))
+    out = dc.decontaminate(more, bench)
+    assert out.columns == more.columns
+    assert sorted((str(r.doc_id), r.text, r.row, r._doc_id) for r in out.collect()) == [("2", "clean words", "mine", "mine")] * 2 + [("None", None, "mine", "mine")]

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from mosaica.llm import suffixes
 from mosaica.llm.suffixes import MIN_WORDS
 
@@ -81,3 +83,13 @@ def test_edges(make_docs):
     assert sorted(map(str, kept)) == sorted(["1", "2", "3", "5", "6", "7", "8", "9", "None"])
     assert kept[3] == long and kept[None].strip() == "x" and kept[9].strip() == "end" and kept[5] == kept[6] == "short text"
     assert suffixes.repeated_passages(make_docs([])).count() == suffixes.cut(make_docs([])).count() == 0
+
+
+def test_clashing_columns(make_docs):
+    rows = corpus(3, docs=30)
+    docs = make_docs(rows)
+    more = docs.select("*", *(F.lit("mine").alias(c) for c in ("t1", "t2", "_t1", "_t2", "cut", "first", "later", "node", "c0", "copies")))
+    want = {r.doc_id: r.text for r in suffixes.cut(docs).collect()}
+    out = suffixes.cut(more)
+    assert out.columns == more.columns
+    assert {r.doc_id: r.text for r in out.collect()} == want and {r.node for r in out.collect()} == {"mine"}

@@ -1,6 +1,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from mosaica.llm import licenses, queries, warc
 from mosaica.llm.common import scratch_dir, table
@@ -67,3 +68,12 @@ def test_licence_inheritance(spark):
     ]
     assert licenses.scan(files.limit(0)).count() == 0
     assert all(r.own_score > 0.999 for r in licenses.scan(files).collect() if r.own_licence)
+
+
+def test_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>a")], "page_id long, url string, html string")
+    names = ("_head", "_body", "_made", "head", "body", "made", "c0")
+    out = warc.derive(warc.responses(pages).select("*", *(F.lit("mine").alias(c) for c in names)))
+    rows = out.collect()
+    assert out.columns[:8] == ["page_id", *names] and len(rows) == 2 and all(r[n] == "mine" for r in rows for n in names)
+    assert {r.block for r in rows if r.record_type == "conversion"} == {"a"}
