@@ -1,17 +1,18 @@
 """Language identification by string kernels.
 
-A text is the set of its letter n-grams of 1 to 3 characters (a blended spectrum, presence only), hashed
-into ``DIMENSIONS`` bins.  The kernel of two texts is the size of their common set over the geometric mean
-of both sizes.  Nyström landmarks ``Z`` give features ``K(x, Z) K(Z, Z)^(-1/2)``; one-versus-rest kernel ridge
-regression on them gives a margin for each language.  The kernel is linear in the presence vector, so a
-batch is scored by matrix products: ``X Z'`` over the norms, then landmarks by languages.
+A text is the set of its letter n-grams of 1 to 3 characters (a blended spectrum, presence only); a gram is
+its whole code points, hashed into one of ``DIMENSIONS`` bins.  The kernel of two texts is the size of their common set
+over the geometric mean of both sizes.  Nyström landmarks ``Z`` give features ``K(x, Z) K(Z, Z)^(-1/2)``;
+one-versus-rest kernel ridge regression on them gives a margin for each language.  A batch is scored by two matrix
+products: ``X Z'`` over the norms, then landmarks by languages (``K(Z, Z)^(-1/2)`` is folded into that matrix).
 
-Training rows are a sample of about ``per_language`` rows of each language, by a hash of id and text
+Training texts are a sample of about ``per_language`` different texts of each language, by a hash of the text
 (documented bound of the fit); scoring reads every whole text.
 
 Edge cases: a null text, and one with no letter, is ``und`` with score 0, as is every row when nothing can be
 learned; a null id counts as not held out but is not learned from; null languages are never learned.
-Of equal margins the language that sorts first wins.  Repeated rows get equal predictions.
+Of equal margins the language that sorts first wins.  Repeated rows get equal predictions and are learned from once;
+columns that clash with ``lang_pred`` and ``score`` are replaced, others are kept.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mosaica.llm.common import chunks
+from mosaica.llm.common import text_chunks
+from mosaica.llm.hashing import mix
 
 DIMENSIONS = 8192
 ORDERS = (1, 2, 3)
@@ -32,42 +34,63 @@ ORDERS = (1, 2, 3)
 BLOCK = 512
 UNDETERMINED = "und"
 
-_CODES: list[np.ndarray] = []
+_LETTERS: list[np.ndarray] = []
 
 
-def letter_codes() -> np.ndarray:
-    """A 7-bit code of each code point: 0 if it is no letter."""
-    if not _CODES:
+def letters() -> np.ndarray:
+    """Each code point, 0 if it is no letter."""
+    if not _LETTERS:
         points = np.arange(0x110000)
-        letter = np.fromiter((chr(c).isalpha() if not 0xD800 <= c < 0xE000 else False for c in points), bool, len(points))
-        _CODES.append(np.where(letter, 1 + points % 127, 0).astype(np.uint32))
-    return _CODES[0]
+        known = np.fromiter((chr(c).isalpha() if not 0xD800 <= c < 0xE000 else False for c in points), bool, len(points))
+        _LETTERS.append(np.where(known, points, 0).astype(np.uint32))
+    return _LETTERS[0]
 
 
 def presence(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Rows of 0/1 bins as float32, and whether a text has a letter."""
     low = [(t or "").lower() for t in texts]
     size = np.fromiter((len(t) + 1 for t in low), np.int64, len(low))
-    codes = letter_codes()[np.frombuffer(" ".join([*low, ""]).encode("utf-32-le", "replace"), np.uint32)] if low else np.zeros(0, np.uint32)
+    codes = letters()[np.frombuffer(" ".join([*low, ""]).encode("utf-32-le", "replace"), np.uint32)].astype(np.uint64) if low else np.zeros(0, np.uint64)
     row = np.repeat(np.arange(len(low)), size)
     x = np.zeros((len(low), DIMENSIONS), np.float32)
-    gram, some = codes.copy(), codes > 0
+    gram, some = codes, codes > 0
     has = np.zeros(len(low), bool)
     has[row[some]] = True
     for n in ORDERS:
-        if n > 1:  # the letter n-1 places on joins; what begins in one text ends in it
-            gram = gram[:-1] | (codes[n - 1 :] << np.uint32(7 * (n - 1)))
+        if n > 1:  # the letter n-1 places on joins (21 bits hold any code point); what begins in one text ends in it
+            gram = gram[:-1] | (codes[n - 1 :] << np.uint64(21 * (n - 1)))
             some = some[:-1] | (codes[n - 1 :] > 0)
         inside = some & (row[: len(gram)] == row[n - 1 :])
-        bins = ((gram[inside] | np.uint32(n << 28)) * np.uint32(2654435761)) >> np.uint32(19)
+        bins = (mix(gram[inside] + np.uint64(n << 60)) >> np.uint64(51)).astype(np.int64)  # no letter needs its 19th bit or more
         x[row[: len(gram)][inside], bins] = 1
     return x, has
 
 
+def packed(x: np.ndarray) -> np.ndarray:
+    return np.packbits(x.astype(bool), axis=1)
+
+
+def unpacked(bits: np.ndarray) -> np.ndarray:
+    return np.unpackbits(bits, axis=1).astype(np.float32)
+
+
 @dataclass
 class Model:
     languages: list[str]
-    weights: np.ndarray  # bins by languages: landmarks times their coefficients
+    bits: np.ndarray  # landmarks, a bit a bin
+    coefficients: np.ndarray  # landmarks by languages
+
+    @property
+    def landmarks(self) -> np.ndarray:
+        if "z" not in self.__dict__:
+            self.z = unpacked(self.bits)
+        return self.z
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "z"}
+
+
+NOTHING = Model([], np.zeros((0, DIMENSIONS // 8), np.uint8), np.zeros((0, 0), np.float32))
 
 
 def kernel(x: np.ndarray, z: np.ndarray) -> np.ndarray:
@@ -88,47 +111,48 @@ def fit_matrix(x: np.ndarray, lang: list[str], landmarks: int = 256, ridge: floa
     target = np.where(np.array(lang)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     share = np.array([1 / len(own[v]) for v in lang])[:, None]  # languages weigh alike
     solved = np.linalg.solve(features.T @ (share * features) + ridge * np.eye(features.shape[1]), features.T @ (share * target))
-    coefficients = root @ solved / np.maximum(np.sqrt(z.sum(1)), 1)[:, None]
-    return Model(names, (z.T @ coefficients).astype(np.float32))
+    return Model(names, packed(z), (root @ solved).astype(np.float32))
 
 
 def fit(docs: DataFrame, learn: Column, per_language: int = 500, landmarks: int = 256) -> Model:
-    """A model of the rows that ``learn`` admits; about ``per_language`` rows of each language are read."""
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = {r.lang: min(1.0, per_language / r.n) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """A model of the rows that ``learn`` admits; about ``per_language`` different texts of each language are read.
+
+    Nothing but text and language is learned from: the draw is a hash of the text, and copies of a text are one.
+    """
+    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("text").alias("h"))
+    share = {r.lang: min(1.0, per_language / max(1, r.n)) for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not share:
-        return Model([], np.zeros((DIMENSIONS, 0), np.float32))
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        return NOTHING
     rate = F.create_map(*(F.lit(v) for item in share.items() for v in item))[F.col("lang")]
+    drawn = rows.where(F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30)) < rate).dropDuplicates(["lang", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, lang, order = (c.to_pylist() for c in batch.columns)
-            for a, b in blocks(texts):
-                x, has = presence(texts[a:b])
-                bits = np.packbits(x.astype(bool), axis=1)
-                keep = np.flatnonzero(has)
-                yield pa.RecordBatch.from_arrays([pa.array([bits[i].tobytes() for i in keep], pa.binary()), pa.array([lang[a + i] for i in keep], pa.string()), pa.array([order[a + i] for i in keep], pa.float64())], ["bits", "lang", "draw"])
-
-    found = rows.select("text", "lang", draw.alias("draw")).where(F.col("draw") < rate).mapInArrow(run, "bits binary, lang string, draw double").collect()
+            for a, texts in blocks(batch.column(0)):
+                x, has = presence(texts)
+                keep = pa.array(has)
+                part = batch.slice(a, len(texts)).filter(keep)
+                yield pa.RecordBatch.from_arrays([pa.array([b.tobytes() for b in packed(x)[has]], pa.binary()), part.column(1), part.column(2)], ["bits", "lang", "h"])
+
+    found = drawn.mapInArrow(run, "bits binary, lang string, h long").collect()
     if not found:
-        return Model([], np.zeros((DIMENSIONS, 0), np.float32))
-    found.sort(key=lambda r: (r.draw, r.lang, r.bits))
-    x = np.unpackbits(np.frombuffer(b"".join(r.bits for r in found), np.uint8).reshape(len(found), -1), axis=1).astype(np.float32)
+        return NOTHING
+    found.sort(key=lambda r: (r.h % (1 << 30), r.h, r.lang, r.bits))
+    x = unpacked(np.frombuffer(b"".join(r.bits for r in found), np.uint8).reshape(len(found), -1))
     return fit_matrix(x, [r.lang for r in found], landmarks)
 
 
-def blocks(texts: list) -> Iterator[tuple[int, int]]:
-    for a, b in chunks(texts):
-        for k in range(a, b, BLOCK):
-            yield k, min(b, k + BLOCK)
+def blocks(column: pa.Array) -> Iterator[tuple[int, list]]:
+    for a, texts in text_chunks(column):
+        for k in range(0, len(texts), BLOCK):
+            yield a + k, texts[k : k + BLOCK]
 
 
 def score(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    x, has = presence(texts)
     if not model.languages:
         return [UNDETERMINED] * len(texts), np.zeros(len(texts))
-    margin = (x @ model.weights) / np.maximum(np.sqrt(x.sum(1)), 1)[:, None]
+    x, has = presence(texts)
+    margin = kernel(x, model.landmarks) @ model.coefficients
     best = margin.argmax(1)
     odds = np.exp(4 * (margin - margin.max(1, keepdims=True)).astype(np.float64))
     return [model.languages[b] if h else UNDETERMINED for b, h in zip(best, has, strict=True)], np.where(has, 1 / odds.sum(1), 0.0)
@@ -141,11 +165,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
             names: list[str] = []
-            sure = np.zeros(len(texts))
-            for a, b in blocks(texts):
-                found, sure[a:b] = score(model, texts[a:b])
+            sure = np.zeros(batch.num_rows)
+            for a, texts in blocks(batch.column(0)):
+                found, sure[a : a + len(texts)] = score(model, texts)
                 names += found
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(sure)], [*kept, "lang_pred", "score"])
 
