@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from mosaica.llm.common import discard, save
 
 
+def state_of(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``links`` (a long, b long): ``root`` is the component's smallest node.
 
@@ -15,8 +19,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     so a node of any degree is pre-aggregated or split, and all state is a written table.
     """
     edges = save(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    for _ in range(rounds):
+    seen = state_of(edges)
+    for _ in range(rounds if seen[0] else 0):
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = save(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
@@ -24,10 +28,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         small = save(large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
         discard(edges, large)
         edges = small
-        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        state = state_of(edges)
         if state == seen:
             break
         seen = state
     else:
-        raise RuntimeError("components did not settle")
+        if seen[0]:
+            raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

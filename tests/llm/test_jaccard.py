@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from mosaica.llm import jaccard, queries
@@ -48,11 +49,13 @@ def test_documents(spark):
     assert result(queries.op3_jaccard_components(spark, sf)) == brute(rows)
 
 
-@pytest.mark.parametrize(("block", "short"), [(4, 6), (256, 64)])
-def test_edited_copies(make_docs, monkeypatch, block, short):
+@pytest.mark.parametrize(("part", "short", "forests"), [(4, 6, 3), (7, 2, 0), (2048, 64, 3)])
+def test_edited_copies(make_docs, monkeypatch, part, short, forests):
     """Groups where copies link to the original, to each other or to nothing."""
-    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "OUTSIDE", part)
+    monkeypatch.setattr(jaccard, "MEMBERS", part * 3)
     monkeypatch.setattr(jaccard, "SHORT", short)
+    monkeypatch.setattr(jaccard, "FORESTS", forests)
     rng = random.Random(5)
     words = [f"w{i}" for i in range(300)]
     rows = []
@@ -99,3 +102,54 @@ def test_components(spark):
             parent[max(a, b)] = min(a, b)
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: find(i) for i in parent}
+
+
+def test_sketches_lose_no_link():
+    """Two sketches differ in no more bits than the sets differ in shingles, whatever their sizes."""
+    rng = np.random.default_rng(2)
+    for n, m, common in [(0, 1, 0), (3, 4, 3), (8, 9, 8), (60, 70, 60), (63, 64, 60), (500, 590, 499), (4000, 4100, 3900), (200_000, 210_000, 190_000)]:
+        every = np.unique(rng.integers(0, 1 << 63, n + m, dtype=np.int64).astype(np.uint64))[: n + m]
+        one, other = every[:n], every[n - common : n - common + m]
+        a, b = (np.frombuffer(jaccard.sketch(x), np.uint64)[None, :] for x in (one, other))
+        words = min(a.shape[1], b.shape[1])
+        differ = int(np.bitwise_count(jaccard.folded(a, words) ^ jaccard.folded(b, words)).sum())
+        assert differ <= len(np.setxor1d(one, other)) and words * 64 >= 4 * min(n, m, 100_000)
+        if n:
+            linked = 100 * common >= 85 * (n + m - common)
+            kept = jaccard.may_link(np.array([n]), [jaccard.sketch(one)], np.array([m]), [jaccard.sketch(other)], 85)[0]
+            assert kept or not linked
+
+
+def test_many_near_copies_that_do_not_all_link(make_docs, monkeypatch):
+    """5,000 copies of one text: some link with it, some only with each other, some with nothing."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(4000)]
+    base = [rng.choice(words) for _ in range(90)]
+    rows = []
+    for i in range(5000):
+        copy = list(base)
+        for _ in range((0, 1, 2, 3, 3, 4, 5)[i % 7]):
+            copy[rng.randrange(90)] = rng.choice(words)
+        rows.append((i, " ".join(copy)))
+    monkeypatch.setattr(jaccard, "OUTSIDE", 512)
+    monkeypatch.setattr(jaccard, "MEMBERS", 2048)
+    got = {r.doc_id: r.component_id for r in jaccard.join_components(make_docs(rows)).collect()}
+    # brute force by products of 0/1 matrices
+    sets = [np.unique(list(map(hash, zip(*(t.split()[k:] for k in range(4)), strict=False)))) for _, t in rows]
+    vocabulary = np.unique(np.concatenate(sets))
+    x = np.zeros((len(rows), len(vocabulary)), np.float32)
+    for i, s in enumerate(sets):
+        x[i, np.searchsorted(vocabulary, s)] = 1
+    n, root = x.sum(1), np.arange(len(rows))
+    linked = []
+    for a in range(0, len(rows), 500):
+        common = x[a : a + 500] @ x.T
+        linked.append(100 * common >= 85 * (n[a : a + 500, None] + n[None, :] - common))
+    linked = np.concatenate(linked)
+    while True:
+        low = np.array([root[linked[i]].min() for i in range(len(rows))])
+        if (low == root).all():
+            break
+        root = low
+    assert got == dict(enumerate(root.tolist()))
+    assert 100 < len(set(root.tolist())) < 4900
