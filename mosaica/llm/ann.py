@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaica.llm.common import discard, save
+from mosaica.llm.common import discard, save, tidied
 
 #: Vectors of a list, and queries of a list, that one task holds together.
 BLOCK = 8192
@@ -163,7 +163,7 @@ def distinct_vectors(good: DataFrame, dims: int, most: int) -> DataFrame:
                 own.setdefault(row.tobytes(), []).append(i)
             yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array([sorted(set(v))[:most] for v in own.values()], pa.list_(pa.int64()))], ["v", "ids"])
 
-    part = good.mapInArrow(gather, "v binary, ids array<long>")
+    part = good.mapInArrow(tidied(gather), "v binary, ids array<long>")
     return part.groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, most).alias("ids"))
 
 
@@ -180,7 +180,7 @@ def encoded(distinct: DataFrame, made: Codebooks) -> DataFrame:
             raw = np.concatenate([norms.view(np.uint8).reshape(len(x), 8), codes], 1)
             yield pa.RecordBatch.from_arrays([pa.array(lists), batch.column(2), batch.column(0), batch.column(1), pa.array([r.tobytes() for r in raw], pa.binary())], ["list", "h", "v", "ids", "code"])
 
-    return distinct.select("v", "ids", F.xxhash64("v").alias("h")).mapInArrow(run, "list long, h long, v binary, ids array<long>, code binary")
+    return distinct.select("v", "ids", F.xxhash64("v").alias("h")).mapInArrow(tidied(run), "list long, h long, v binary, ids array<long>, code binary")
 
 
 def order_of_lists(query: np.ndarray, coarse: np.ndarray) -> np.ndarray:
@@ -206,7 +206,7 @@ def probes_for(index: DataFrame, sample: np.ndarray, coarse: np.ndarray, k: int,
         times = score.shape[1]
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(n), times)), pa.array(score.ravel()), pa.array(np.ascontiguousarray(where).ravel())], ["q", "score", "list"])
 
-    per = index.select("list", "v").mapInArrow(run, "q long, score double, list long")
+    per = index.select("list", "v").mapInArrow(tidied(run), "q long, score double, list long")
     best = per.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "list"))), 1, k + 1).alias("best")).collect()
     place = np.argsort(order_of_lists(sample, coarse), axis=1)  # the turn in which a list is probed
     turns = np.sort(np.array([place[r.q, b["list"]] for r in best for b in r.best], np.int64))
@@ -260,7 +260,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_
             cells = [r.tobytes() for r in matrix(batch.column(1), dims) + 0.0]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.binary())], ["query_id", "v"])
 
-    wanted = save(asked.mapInArrow(keyed, "query_id long, v binary").distinct())
+    wanted = save(asked.mapInArrow(tidied(keyed), "query_id long, v binary").distinct())
     asks = save(wanted.select("v").distinct().withColumn("id", F.monotonically_increasing_id()))
     few = asks.select("v", F.xxhash64("v").alias("h")).orderBy("h", "v").limit(CALIBRATION).select("v").collect()
     probes = probes_for(index, np.frombuffer(b"".join(bytes(r.v) for r in few), np.float64).reshape(-1, dims), made.coarse, k, recall)
@@ -276,7 +276,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_
                 n = np.bincount(hit.ravel(), minlength=total)
                 yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], ["list", "n"])
 
-    popular = {r.list: r.n for r in asks.select("v").mapInArrow(turns, "list long, n long").groupBy("list").agg(F.sum("n").alias("n")).collect()}
+    popular = {r.list: r.n for r in asks.select("v").mapInArrow(tidied(turns), "list long, n long").groupBy("list").agg(F.sum("n").alias("n")).collect()}
     parts = np.array([max(1, -(-popular.get(i, 0) // QUERIES)) for i in range(total)], np.int64)
     first = np.concatenate([[0], np.cumsum(blocks * parts)])  # keys of list i: first[i] + block * parts[i] + part
 
@@ -336,9 +336,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_
                     entries = pa.StructArray.from_arrays([pa.array(-scores), pa.array(found)], ["negative", "vec_id"])
                     yield pa.RecordBatch.from_arrays([part.column(2), pa.ListArray.from_arrays(offsets, entries)], ["id", "best"])
 
-    both = index.select("list", "h", "v", "ids", "code").mapInArrow(place, ROW).unionAll(asks.select("id", "v").mapInArrow(route, ROW))
+    both = index.select("list", "h", "v", "ids", "code").mapInArrow(tidied(place), ROW).unionAll(asks.select("id", "v").mapInArrow(tidied(route), ROW))
     dealt = both.repartition(F.col("key")).sortWithinPartitions("key", "query")
-    found = dealt.mapInArrow(scan, "id long, best array<struct<negative:double,vec_id:long>>")
+    found = dealt.mapInArrow(tidied(scan), "id long, best array<struct<negative:double,vec_id:long>>")
     top = save(found.groupBy("id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k + 1).alias("best")))
     discard(index)
     answers = wanted.join(asks, "v").join(top, "id").select("query_id", F.expr(f"slice(filter(best, x -> x.vec_id <> query_id), 1, {int(k)})").alias("best"))

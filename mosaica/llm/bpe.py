@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaica.llm.common import chunks, text_chunks
+from mosaica.llm.common import CACHES, chunks, text_chunks, tidied
 
 #: Words of more bytes use the scalar tree.
 BATCH_BYTES = 64
 #: Words that one worker remembers; it starts anew when they are more.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 #: Above this code point the library's own splitter is asked, so that Unicode versions cannot differ.
 KNOWN = 0xFF
 
@@ -259,6 +259,7 @@ class SegmentTreeBPE:
 
 
 _LOADED: dict[str, SegmentTreeBPE] = {}
+CACHES["bpe"] = _LOADED.clear
 
 
 def load(path: str) -> SegmentTreeBPE:
@@ -286,7 +287,7 @@ def encode_column(docs: DataFrame, vocabulary: str, text: str = "text", ids: str
             offsets = np.cumsum([0, *(len(p) // 4 for p in parts)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [*kept, ids])
 
-    return docs.select(F.col(text), *kept).mapInArrow(run, schema)
+    return docs.select(F.col(text), *kept).mapInArrow(tidied(run, "bpe"), schema)
 
 
 def decode_column(tokens: DataFrame, vocabulary: str, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -300,7 +301,7 @@ def decode_column(tokens: DataFrame, vocabulary: str, ids: str = "ids", text: st
             out = [None if x is None else bpe.decode(np.array(x, "<u4").tobytes()) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.string())], [*kept, text])
 
-    return tokens.select(F.col(ids), *kept).mapInArrow(run, schema)
+    return tokens.select(F.col(ids), *kept).mapInArrow(tidied(run, "bpe"), schema)
 
 
 def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -321,4 +322,4 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
                     b.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run, "bpe"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

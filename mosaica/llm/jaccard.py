@@ -41,8 +41,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mosaica.llm.common import discard, save, text_chunks
-from mosaica.llm.components import components
+from mosaica.llm.common import discard, save, text_chunks, tidied
+from mosaica.llm.components import Forest, components
 from mosaica.llm.hashing import grams, mix, signed, split_words
 
 #: Slots of the frequency table (a byte each, sent to every worker).
@@ -56,10 +56,8 @@ SHORT = 64
 #: Outsiders and members of a long list that one task compares.
 OUTSIDE = 2048
 MEMBERS = 1 << 16
-#: Rows of an Arrow batch that carries two texts a row.
-BATCH = 1000
 #: Rounds of spanning forests before all pairs are given.
-FORESTS = 3
+FORESTS = 1
 #: Bits of the largest sketch; a set of more shingles has a coarser one.
 SKETCH = 1 << 20
 #: Bits of a node's id below its rank among centres.
@@ -182,7 +180,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
     rest = F.struct(*(F.col(c) for c in docs.columns if c != "text")).alias("row")
     rows = docs.select(rest, F.col("text").cast("string").alias("text"))
     empty = F.lit(None).cast("long")
-    return rows.mapInArrow(run, rows.select("row", "text", empty.alias("h1"), empty.alias("h2"), empty.alias("n"), F.lit(None).cast("binary").alias("sketch")).schema)
+    return rows.mapInArrow(tidied(run), rows.select("row", "text", empty.alias("h1"), empty.alias("h2"), empty.alias("n"), F.lit(None).cast("binary").alias("sketch")).schema)
 
 
 def frequency_levels(nodes: DataFrame, width: int) -> np.ndarray:
@@ -209,14 +207,14 @@ def frequency_levels(nodes: DataFrame, width: int) -> np.ndarray:
             yield flush()
 
     level = F.floor(F.log2("n")).cast("int")
-    slots = nodes.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).groupBy(F.col("key").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).agg(F.max(level).alias("level"))
+    slots = nodes.select("text").mapInArrow(tidied(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).groupBy(F.col("key").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).agg(F.max(level).alias("level"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().astype("<u4").tobytes()], pa.binary()), pa.array([batch.column(1).to_numpy().astype(np.uint8).tobytes()], pa.binary())], ["slots", "levels"])
 
     table = np.zeros(SLOTS, np.uint8)
-    for r in slots.mapInArrow(pack, "slots binary, levels binary").toLocalIterator():  # five bytes a slot at most
+    for r in slots.mapInArrow(tidied(pack), "slots binary, levels binary").toLocalIterator():  # five bytes a slot at most
         table[np.frombuffer(r.slots, "<u4")] = np.frombuffer(r.levels, np.uint8)
     return table
 
@@ -235,7 +233,7 @@ def postings(nodes: DataFrame, table: np.ndarray, width: int, percent: int) -> D
             yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(cost, pa.float64())], ["n", "cost"])
 
     short = nodes.where(F.col("n") <= LARGEST_LIGHT * 100 // percent)
-    found = short.select("text").mapInArrow(scan_cost, "n long, cost double").groupBy("n").agg(F.count("*").alias("sets"), F.avg("cost").alias("cost")).collect()
+    found = short.select("text").mapInArrow(tidied(scan_cost), "n long, cost double").groupBy("n").agg(F.count("*").alias("sets"), F.avg("cost").alias("cost")).collect()
     boundary = choose_boundary({r.n: r.sets for r in found}, {r.n: r.cost for r in found}, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +248,7 @@ def postings(nodes: DataFrame, table: np.ndarray, width: int, percent: int) -> D
                 member = ids[a : a + len(texts)] | (np.array(rank, np.int64) << NODE_BITS)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(np.repeat(member, [len(k) for k in keys]))], ["key", "member"])
 
-    return nodes.select("node", "text").mapInArrow(run, "key long, member long")
+    return nodes.select("node", "text").mapInArrow(tidied(run), "key long, member long")
 
 
 def node_of(member: str) -> Column:
@@ -273,7 +271,7 @@ def verify(pairs: DataFrame, nodes: DataFrame, width: int, percent: int) -> Data
             keep = pa.array(may_link(n, batch.column(3).to_pylist(), m, batch.column(5).to_pylist(), percent), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["centre", "node"])
 
-    return by_sets(save(known.select("centre", "node", "n", "own", "centre_n", "centre_own").mapInArrow(sift, "centre long, node long")), nodes, width, percent)
+    return by_sets(save(known.select("centre", "node", "n", "own", "centre_n", "centre_own").mapInArrow(tidied(sift), "centre long, node long")), nodes, width, percent)
 
 
 def by_sets(pairs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -296,7 +294,7 @@ def by_sets(pairs: DataFrame, nodes: DataFrame, width: int, percent: int) -> Dat
                 keep = pa.array(keep, pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    out = save(rows.sortWithinPartitions("centre").mapInArrow(run, "a long, b long"), BATCH)
+    out = save(rows.sortWithinPartitions("centre").mapInArrow(tidied(run), "a long, b long"))
     discard(pairs, texts)
     return out
 
@@ -308,24 +306,6 @@ def short_pairs(members: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("centre", "node").alias("centre"), F.greatest("centre", "node").alias("node")).distinct()
 
 
-class Forest:
-    """Components that joined edges make, one after the other."""
-
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        up = self.up
-        while (y := up.get(x, x)) != x:
-            up[x] = x = up.get(y, y)
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
-        self.up[x] = y
-        return x != y
-
-
 def long_pairs(lists: DataFrame, nodes: DataFrame, percent: int, every: bool) -> DataFrame:
     """(centre, node) pairs of long lists that sketches leave possible: outsiders with members of other components.
 
@@ -365,7 +345,7 @@ def long_pairs(lists: DataFrame, nodes: DataFrame, percent: int, every: bool) ->
                 yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], ["centre", "node"])
 
     dealt = outside.unionAll(members).repartition("key", "part", "chunk").sortWithinPartitions("key", "part", "chunk", "member")
-    return dealt.mapInArrow(run, "centre long, node long").distinct()
+    return dealt.mapInArrow(tidied(run), "centre long, node long").distinct()
 
 
 def by_length(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:

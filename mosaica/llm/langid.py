@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mosaica.llm.common import text_chunks
+from mosaica.llm.common import CACHES, text_chunks, tidied
 from mosaica.llm.hashing import mix
 
 DIMENSIONS = 8192
@@ -35,6 +35,7 @@ BLOCK = 512
 UNDETERMINED = "und"
 
 _LETTERS: list[np.ndarray] = []
+CACHES["langid"] = _LETTERS.clear
 
 
 def letters() -> np.ndarray:
@@ -134,7 +135,7 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 500, landmarks: int
                 part = batch.slice(a, len(texts)).filter(keep)
                 yield pa.RecordBatch.from_arrays([pa.array([b.tobytes() for b in packed(x)[has]], pa.binary()), part.column(1), part.column(2)], ["bits", "lang", "h"])
 
-    found = drawn.mapInArrow(run, "bits binary, lang string, h long").collect()
+    found = drawn.mapInArrow(tidied(run, "langid"), "bits binary, lang string, h long").collect()
     if not found:
         return NOTHING
     found.sort(key=lambda r: (r.h % (1 << 30), r.h, r.lang, r.bits))
@@ -172,7 +173,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 names += found
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(sure)], [*kept, "lang_pred", "score"])
 
-    return docs.select("text", *kept).mapInArrow(run, schema)
+    return docs.select("text", *kept).mapInArrow(tidied(run, "langid"), schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

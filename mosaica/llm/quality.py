@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mosaica.llm.common import save, text_chunks
+from mosaica.llm.common import save, text_chunks, tidied
 from mosaica.llm.hashing import grams, mix, split_words
 
 BUCKETS = 1 << 16
@@ -115,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 20_000, smoothing: f
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counted = rows.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    counted = rows.mapInArrow(tidied(count), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[counted["bucket"]], target[counted["bucket"]] = counted["raw"], counted["target"]
     if not target.sum():
@@ -135,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 20_000, smoothing: f
                 ids = batch.column(0).slice(a, len(texts))
                 yield pa.RecordBatch.from_arrays([pa.array(member(ids, good)), pa.array(member(ids, toxic_rest)), pa.array(model.score(texts)), pa.array(model.evidence(texts))], ["good", "toxic", "score", "evidence"])
 
-    seen = rows.mapInArrow(score, "good boolean, toxic boolean, score double, evidence double").toPandas()
+    seen = rows.mapInArrow(tidied(score), "good boolean, toxic boolean, score double, evidence double").toPandas()
     model.bar = bar(seen["score"][seen["good"]].to_numpy(), seen["score"][~seen["good"]].to_numpy(), keep) - margin
     if model.toxic is not None:
         # ``bar`` takes what is large as good
@@ -159,7 +159,7 @@ def toxic_features(docs: DataFrame, toxic: np.ndarray, harmless: np.ndarray) ->
                 yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(bad.astype(np.int64)), pa.array((~bad).astype(np.int64))], ["h", "toxic", "harmless"])
 
     odds = F.log((F.col("toxic") + 1) / (F.col("harmless") * (len(toxic) / len(harmless)) + 1))
-    found = docs.mapInArrow(run, "h long, toxic long, harmless long").groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("harmless").alias("harmless"))
+    found = docs.mapInArrow(tidied(run), "h long, toxic long, harmless long").groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("harmless").alias("harmless"))
     found = found.where(F.col("toxic") >= 2).select("h", odds.alias("odds")).where("odds > 0").toPandas()
     h = found["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
@@ -197,7 +197,7 @@ def weigh(docs: DataFrame, model: Model, columns: list[str] | None = None, seed:
                 part = batch.slice(a, len(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns[: 2 + with_text], pa.array(scores, mask=np.isnan(scores))], schema.names)
 
-    made = rows.mapInArrow(run, schema)
+    made = rows.mapInArrow(tidied(run), schema)
     return made.select("row", *["text"] * with_text, "log_weight", (F.col("log_weight") + F.col("noise")).alias("gumbel_key"))
 
 

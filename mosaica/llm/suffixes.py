@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mosaica.llm.common import chunks, discard, partitions, save
+from mosaica.llm.common import chunks, discard, partitions, save, tidied
 from mosaica.llm.hashing import signed, split_words, window_hash
 
 MIN_WORDS = 50
@@ -82,7 +82,7 @@ def suffix_rows(nodes: DataFrame) -> DataFrame:
                 at, run = positions(w)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(run)), pa.array(ids[a:b][w.doc[at]]), pa.array((at - w.first[w.doc[at]]).astype(np.int32))], ["key", "node", "pos"])
 
-    runs = save(nodes.select("node", "text").mapInArrow(select, "key long, node long, pos int"))
+    runs = save(nodes.select("node", "text").mapInArrow(tidied(select), "key long, node long, pos int"))
     shared = runs.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
     wanted = runs.join(shared, "key").groupBy("node").agg(F.collect_list(F.struct("pos", "key")).alias("at"))
     base = nodes.select("node", "doc", "text").join(wanted, "node")
@@ -106,7 +106,7 @@ def suffix_rows(nodes: DataFrame) -> DataFrame:
                 cells = [pa.array([r.tobytes() for r in s], pa.binary()) for s in sides]
                 yield pa.RecordBatch.from_arrays([pa.array(key), *cells, pa.array(doc[a:b][own]), pa.array(node[a:b][own]), pa.array(pos.astype(np.int32))], ["key", "right", "left", "doc", "node", "pos"])
 
-    out = save(base.select("node", "doc", "text", "at").mapInArrow(surround, ROW))
+    out = save(base.select("node", "doc", "text", "at").mapInArrow(tidied(surround), ROW))
     discard(runs)
     return out
 
@@ -179,10 +179,10 @@ def repeats(rows: DataFrame) -> DataFrame:
         if held:
             yield neighbours(pa.Table.from_batches(held))[0]
 
-    made = save(rows.repartitionByRange(partitions(rows.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(run, f"{ROW}, start int, end int, removed boolean, other long"))
+    made = save(rows.repartitionByRange(partitions(rows.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(tidied(run), f"{ROW}, start int, end int, removed boolean, other long"))
     spans = made.where("key is null").select("node", "start", "end", "removed", "other")
     edges = made.where("key is not null").select(*order).coalesce(1).sortWithinPartitions(*order)  # a few rows a partition
-    return spans.unionAll(edges.mapInArrow(across, SPAN))
+    return spans.unionAll(edges.mapInArrow(tidied(across), SPAN))
 
 
 def merged(spans: DataFrame) -> DataFrame:
@@ -214,7 +214,7 @@ def merged(spans: DataFrame) -> DataFrame:
                         rows.append((node, start, end, True, other))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64()))], ["node", "start", "end", "kept", "other"])
 
-    return spans.groupBy("node").agg(F.collect_set(F.struct("start", "end", "removed", "other")).alias("spans")).mapInArrow(run, "node long, start int, end int, kept boolean, other long")
+    return spans.groupBy("node").agg(F.collect_set(F.struct("start", "end", "removed", "other")).alias("spans")).mapInArrow(tidied(run), "node long, start int, end int, kept boolean, other long")
 
 
 def word_counts(nodes: DataFrame) -> DataFrame:
@@ -224,7 +224,7 @@ def word_counts(nodes: DataFrame) -> DataFrame:
             n = [split_words(texts[a:b]).count for a, b in chunks(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n).astype(np.int32) if n else [], pa.int32())], ["node", "n_words"])
 
-    return nodes.select("node", "text").mapInArrow(run, "node long, n_words int")
+    return nodes.select("node", "text").mapInArrow(tidied(run), "node long, n_words int")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -283,4 +283,4 @@ def cut(docs: DataFrame) -> DataFrame:
     mine = docs.select(*(F.col(c).alias(place[c]) for c in columns), *text_key())
     rows = mine.join(parts, ["t1", "t2"], "left")
     later = F.col("first").isNotNull() & (F.coalesce(F.col(place["doc_id"]).cast("long"), F.lit(LAST)) != F.col("first"))
-    return rows.select(*place.values(), "cut", F.coalesce(later, F.lit(False)).alias("later")).mapInArrow(run, schema)
+    return rows.select(*place.values(), "cut", F.coalesce(later, F.lit(False)).alias("later")).mapInArrow(tidied(run), schema)

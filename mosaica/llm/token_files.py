@@ -25,11 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mosaica.llm.common import chunks, partitions, text_chunks
+from mosaica.llm.common import CACHES, chunks, partitions, text_chunks, tidied
 
 SCHEMA = "doc_id long, part int, part_start long, n_tokens int, ids array<int>"
 #: Words that one worker remembers; it starts anew when they are more.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 
 class CachedEncoder:
@@ -113,6 +113,7 @@ class CachedEncoder:
 
 
 _LOADED: dict[str, CachedEncoder] = {}
+CACHES["token_files"] = _LOADED.clear
 
 
 def load(path: str) -> CachedEncoder:
@@ -137,7 +138,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, path: str, files
 
     spark = docs.sparkSession
     ordered = docs.select("doc_id", "text").repartitionByRange(files or partitions(spark), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    (ordered.mapInArrow(run, SCHEMA).write.option("orc.bloom.filter.columns", "doc_id").option("orc.create.index", "true").option("orc.row.index.stride", str(index_rows)).option("orc.stripe.size", str(stripe_mb << 20)).option("compression", "zstd").orc(path))
+    (ordered.mapInArrow(tidied(run, "token_files"), SCHEMA).write.option("orc.bloom.filter.columns", "doc_id").option("orc.create.index", "true").option("orc.row.index.stride", str(index_rows)).option("orc.stripe.size", str(stripe_mb << 20)).option("compression", "zstd").orc(path))
     # the manifest: what a look-up has to know before it opens any file (Spark's readers pass over names that begin with _)
     rows = spark.read.schema(SCHEMA).orc(path).select("doc_id", "part", F.col("part_start"), "n_tokens", F.input_file_name().alias("file"))
     files_of = rows.groupBy("part", "file").agg(F.count("*").alias("rows"), F.max(F.col("part_start") + F.col("n_tokens")).alias("total"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count_if(F.col("doc_id").isNull()).alias("null_ids"))
@@ -185,4 +186,4 @@ def crc_rows(tokens: DataFrame) -> DataFrame:
             crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return tokens.select("doc_id", "start", "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return tokens.select("doc_id", "start", "ids").mapInArrow(tidied(run, "token_files"), "doc_id long, start long, n_tokens long, ids_crc32 long")

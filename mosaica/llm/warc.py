@@ -144,7 +144,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     schema = pa.schema([(f, pa.int64() if f == "content_length" else pa.string()) for f in FIELDS])
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(run, RECORD)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(tidied(run), RECORD)
 
 
 def _literal(s: str) -> str:

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from mosaica.llm import components as components_module
 from mosaica.llm import jaccard, queries
 from mosaica.llm.common import table
 from mosaica.llm.components import components
@@ -85,7 +86,9 @@ def test_boundary_follows_cost():
     assert 6 <= jaccard.choose_boundary(sizes, {s: 100.0 for s in sizes}, 85) < jaccard.LARGEST_LIGHT
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [20, components_module.AT_ONCE])
+def test_components(spark, monkeypatch, at_once):
+    monkeypatch.setattr(components_module, "AT_ONCE", at_once)
     rng = random.Random(1)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000, 1000 + i) for i in range(200)] + [(i, i + 1) for i in range(2000, 2100)]
     parent = {}
@@ -100,8 +103,12 @@ def test_components(spark):
         if a != b:
             a, b = find(a), find(b)
             parent[max(a, b)] = min(a, b)
-    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {i: find(i) for i in parent}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(at_once > 100).lower())
+    rows = components(spark.createDataFrame(links, "a long, b long")).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = {r.node: r.root for r in rows}
+    assert got == {i: find(i) for i in parent} and len(rows) == len(got)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_sketches_lose_no_link():
