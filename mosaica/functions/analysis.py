@@ -1,12 +1,18 @@
-"""Text analysis as expressions: accents, words, stop words, light stems."""
+"""Text analysis as expressions: accents, words, stop words, stems.
+
+Documents and query strings go through the same expressions, so a word is always found by itself.
+"""
 
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from mosaica.functions.spanish import spanish_stem
+
 # The stop words that results depend on (English, then Spanish).  They are compared after accents are
 # stripped, so the accented ones never apply.
 STOPWORDS = """
@@ -19,38 +25,45 @@ aquí alli allí allá hoy ayer mañana si sí no ni cada casi tal tales otro ot
 además pues ante bajo cabe era eran es son ser será serán
 """.split()
 WORD = r"[\p{L}\p{N}_]+"
+#: Ways to a term from a word: as it is, without the final s, or by the Spanish Snowball rules.
+STEMS = ("none", "light", "spanish")
 
 
+@cache
 def accents() -> tuple[str, str]:
-    """Latin letters that decompose, and the letters that are left without their marks."""
-    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c))[0]) for c in range(0xC0, 0x250)]
-    pairs = [(a, b) for a, b in pairs if a != b and unicodedata.normalize("NFKD", a)[1:] and all(unicodedata.combining(x) for x in unicodedata.normalize("NFKD", a)[1:])]
+    """All characters that decompose into one character and marks, and that character (without marks)."""
+    pairs = []
+    for c in range(0x80, 0x30000):
+        parts = unicodedata.normalize("NFKD", chr(c))
+        bare = "".join(x for x in parts if not unicodedata.combining(x))
+        if bare != chr(c) and len(bare) == 1 and c < 0x10000 and ord(bare) < 0x10000:
+            pairs.append((chr(c), bare))
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
 def fold(text: Column) -> Column:
     """Lower case without accents; combining marks that stand alone go."""
-    return F.lower(F.regexp_replace(F.translate(text, *accents()), r"\p{Mn}+", ""))
+    return F.lower(F.regexp_replace(F.translate(text, *accents()), r"\p{M}+", ""))
 
 
-def words(text: Column, stop: bool = True) -> Column:
+def words(text: Column, stop: bool = True, normalize: bool = True) -> Column:
     """All words of a text in order, repeats included; none of null."""
-    found = F.regexp_extract_all(F.coalesce(fold(text), F.lit("")), F.lit(WORD), F.lit(0))
+    flat = fold(text) if normalize else F.lower(text)
+    found = F.regexp_extract_all(F.coalesce(flat, F.lit("")), F.lit(WORD if normalize else r"[\p{L}\p{M}\p{N}_]+"), F.lit(0))
     return F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(STOPWORDS) if stop else F.length(t) > 0)
 
 
-def stem(word: Column) -> Column:
-    """A light stem: without the final s; it may be empty and is a term all the same."""
-    return F.regexp_replace(word, "s+$", "")
-
+def stem(word: Column, how: str = "light") -> Column:
+    """A stem; it may be empty and is a term all the same."""
+    if how not in STEMS:
+        raise ValueError(f"{how!r} is no way to stem")
+    return {"none": lambda w: w, "light": lambda w: F.regexp_replace(w, "s+$", ""), "spanish": spanish_stem}[how](word)
 
-def terms(text: Column) -> Column:
-    return F.transform(words(text), stem)
 
+def terms(text: Column, how: str = "light", normalize: bool = True) -> Column:
+    return F.transform(words(text, normalize=normalize), lambda w: stem(w, how))
 
-def python_terms(text: str | None) -> list[str]:
-    """The same analysis of a query string on the driver."""
-    import re
 
-    flat = "".join(c for c in unicodedata.normalize("NFKD", text or "") if not unicodedata.combining(c)).lower()
-    return [w.rstrip("s") for w in re.findall(r"\w+", flat) if len(w) > 1 and w not in set(STOPWORDS)]
+def query_terms(spark: SparkSession, query: str | None, how: str = "light", normalize: bool = True) -> list[str]:
+    """The terms of a query string, by the expressions that documents go through."""
+    return list(spark.range(1).select(terms(F.lit(query).cast("string"), how, normalize).alias("t")).first().t)

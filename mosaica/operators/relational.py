@@ -69,3 +69,8 @@ def page(df: DataFrame, order: list[str], limit: int = 100, offset: int = 0) ->
     if not 1 <= limit <= 1000 or offset < 0:
         raise ValueError("limit is 1 to 1000 and offset 0 or more")
     return df.orderBy(*order).offset(offset).limit(limit)
+
+
+def page_and_count(df: DataFrame, order: list[str], limit: int = 100, offset: int = 0) -> tuple[DataFrame, int]:
+    """A page, and the number of rows of the whole."""
+    return page(df, order, limit, offset), df.count()

@@ -22,18 +22,23 @@ def distance(column: str | Column, point: Sequence[float], dims: int | None = No
     return F.sqrt(F.aggregate(F.zip_with(c, F.array(*(F.lit(float(v)) for v in point)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b))
 
 
-def near(df: DataFrame, column: str, point: Sequence[float], radius: float, dims: int | None = None, scalars: Sequence[str] | None = None) -> DataFrame:
-    """Rows within ``radius`` (inclusive).  ``scalars`` name columns of the coordinates: their box reaches the files."""
-    box = None
+def within(column: str, point: Sequence[float], radius: float, dims: int | None = None, scalars: Sequence[str] | None = None) -> Column:
+    """Within ``radius`` (inclusive).  ``scalars`` name columns of the coordinates: their box reaches the files."""
+    box = F.col(column).isNotNull()
     for i, v in enumerate(point):
         c = F.col(scalars[i]) if scalars else F.col(column)[i].cast("double")
-        side = (c >= F.lit(float(v) - radius)) & (c <= F.lit(float(v) + radius))
-        box = side if box is None else box & side
-    return df.where(F.col(column).isNotNull()).where(box).where(distance(column, point, dims) <= F.lit(float(radius)))
+        box = box & (c >= F.lit(float(v) - radius)) & (c <= F.lit(float(v) + radius))
+    return box & (distance(column, point, dims) <= F.lit(float(radius)))
+
+
+def near(df: DataFrame, column: str, point: Sequence[float], radius: float, dims: int | None = None, scalars: Sequence[str] | None = None) -> DataFrame:
+    """Rows ``within`` a radius."""
+    return df.where(within(column, point, radius, dims, scalars))
 
 
 def knn(df: DataFrame, column: str, point: Sequence[float], k: int = 1, key: str = "__rid", dims: int | None = None) -> DataFrame:
-    """The ``k`` nearest rows with ``distance``, nearest first, ties by ``key``."""
+    """The ``k`` nearest rows, nearest first, ties by ``key``; ``distance`` is shown at six places, which decide nothing."""
     if k <= 0:
         return df.withColumn("distance", F.lit(0.0)).limit(0)
-    return df.where(F.col(column).isNotNull()).withColumn("distance", F.round(distance(column, point, dims), 6)).orderBy("distance", key).limit(k)
+    rows = df.where(F.col(column).isNotNull()).withColumn("distance", distance(column, point, dims)).orderBy("distance", key).limit(k)
+    return rows.withColumn("distance", F.round("distance", 6))

@@ -1,18 +1,30 @@
-"""Full text: postings, document frequencies, norms, AND matches and ranked cosine search.
+"""Full text: a written index of postings, AND matches with fallbacks, ranked cosine search.
 
-Term weights are ``(1 + ln tf) * ln((N + 1) / df)``; N counts every non-null text.  An index is three tables that
-any plan can read; ranked search joins the few query terms (broadcast: as many rows as the query has words) with postings.
+Term weights are ``(1 + ln tf) * ln((N + 1) / df)``; N counts every non-null text.  ``build`` writes three tables below
+one folder: ``postings`` (term, key, tf, df, impact) sorted by term, so that a query reads the row groups of its own terms
+and no other; ``terms`` (term, df), sorted too; ``meta`` (N, how words are stemmed).  ``impact`` is the weight over
+the document's norm, so a score is a sum over the query's postings alone.
+
+Scores are ranked at twelve places, as sums of floating-point numbers depend on their order beyond that, and shown at six;
+ties go to the smaller key.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mosaica.functions.analysis import python_terms, terms
+from mosaica.functions.analysis import query_terms, terms
+
+#: Places that decide a rank, and places that are shown.
+EXACT, SHOWN = 12, 6
+#: Terms (some 40 bytes each) that may be sent to every task.
+BROADCAST_TERMS = 1_000_000
 
 
 def joined(columns: list[str]) -> Column:
@@ -20,10 +32,10 @@ def joined(columns: list[str]) -> Column:
     return F.concat_ws(" ", *columns)
 
 
-def postings(docs: DataFrame, key: str, text: str | Column) -> DataFrame:
+def postings(docs: DataFrame, key: str, text: str | Column, how: str = "light") -> DataFrame:
     """(key, term, tf): partial counts happen before the shuffle."""
     t = F.col(text) if isinstance(text, str) else text
-    return docs.select(key, F.explode(terms(t)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return docs.select(key, F.explode(terms(t, how)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(posts: DataFrame) -> DataFrame:
@@ -37,55 +49,145 @@ def weight(tf: Column, df: Column, n: Column | int) -> Column:
 
 @dataclass
 class TextIndex:
+    """A written index; ``key`` names the documents' column."""
+
+    spark: SparkSession
+    path: str
     key: str
-    postings: DataFrame  # key, term, tf
-    frequency: DataFrame  # term, df
     count: int
-    norms: DataFrame  # key, norm
+    how: str
 
+    @property
+    def postings(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/postings")
 
-def build(docs: DataFrame, key: str, text: str | Column) -> TextIndex:
-    t = F.col(text) if isinstance(text, str) else text
-    posts = postings(docs, key, t)
-    frequency = document_frequency(posts)
-    n = docs.where(t.isNotNull()).count()
-    return TextIndex(key, posts, frequency, n, norms(posts, frequency, key, n))
+    @property
+    def frequency(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/terms")
 
+    @property
+    def norms(self) -> DataFrame:
+        """(key, norm) of the documents with a term."""
+        return self.spark.read.parquet(f"{self.path}/norms")
 
-def norms(posts: DataFrame, frequency: DataFrame, key: str, n: int) -> DataFrame:
-    w = weight(F.col("tf"), F.col("df"), n)
-    return posts.join(frequency, "term").groupBy(key).agg(F.sqrt(F.sum(w * w)).alias("norm"))
+    def terms(self) -> DataFrame:
+        """All terms in order."""
+        return self.frequency.select("term").orderBy("term")
 
+    def of(self, asked: list[str]) -> DataFrame:
+        """The postings of some terms: the filter reaches the files."""
+        return self.postings.where(F.col("term").isin(sorted(set(asked))))
 
-def match_all(docs: DataFrame, text: str | Column, query: str) -> DataFrame:
-    """Rows that hold every term of the query; an empty query matches nothing.  No shuffle."""
-    asked = sorted(set(python_terms(query)))
-    if not asked:
-        return docs.limit(0)
-    t = F.col(text) if isinstance(text, str) else text
-    return docs.where(F.size(F.array_intersect(terms(t), F.array(*map(F.lit, asked)))) == len(asked))
+
+def with_frequency(posts: DataFrame, frequency: DataFrame) -> DataFrame:
+    """Postings with ``df``: few terms are sent to every task; else frequent terms are split by the adaptive join."""
+    small = frequency.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    return posts.join(F.broadcast(frequency) if small else frequency, "term")
+
+
+def build(docs: DataFrame, key: str, text: str | Column, path: str, how: str = "light") -> TextIndex:
+    """Writes the index of ``docs`` (a row a key) below ``path`` and returns it; nothing of it is computed again."""
+    spark, t = docs.sparkSession, F.col(text) if isinstance(text, str) else text
+    counted = F.count_if(t.isNotNull())
+    postings(docs, key, t, how).write.mode("overwrite").parquet(f"{path}/_counted")
+    posts = spark.read.parquet(f"{path}/_counted")
+    document_frequency(posts).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    docs.agg(counted.alias("n")).withColumn("how", F.lit(how)).write.mode("overwrite").parquet(f"{path}/meta")
+    n = spark.read.parquet(f"{path}/meta").first().n
+    weighed = with_frequency(posts, spark.read.parquet(f"{path}/terms")).withColumn("w", weight(F.col("tf"), F.col("df"), n))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    made = weighed.withColumn("norm", norm).select("term", key, "tf", "df", F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).alias("impact"), "norm")
+    made.repartitionByRange("term", key).sortWithinPartitions("term", key).write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/_weighed")
+    done = spark.read.parquet(f"{path}/_weighed")
+    done.drop("norm").write.mode("overwrite").option("parquet.block.size", str(8 << 20)).parquet(f"{path}/postings")
+    done.groupBy(key).agg(F.max("norm").alias("norm")).write.mode("overwrite").parquet(f"{path}/norms")
+    remove(spark, f"{path}/_counted", f"{path}/_weighed")
+    return TextIndex(spark, path, key, n, how)
+
+
+def load(spark: SparkSession, path: str, key: str) -> TextIndex:
+    """An index that ``build`` has written."""
+    meta = spark.read.parquet(f"{path}/meta").first()
+    return TextIndex(spark, path, key, meta.n, meta.how)
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+# ---- AND
+
+
+def holds_all(index: TextIndex, asked: list[str]) -> DataFrame:
+    """(key) of documents that hold every term: their postings are counted."""
+    wanted = sorted(set(asked))
+    return index.of(wanted).groupBy(index.key).agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).select(index.key)
+
+
+def match_all(index: TextIndex, query: str) -> DataFrame:
+    """(key) of documents that hold every term of the query; an empty query matches nothing."""
+    asked = query_terms(index.spark, query, index.how)
+    return holds_all(index, asked) if asked else index.postings.select(index.key).limit(0)
+
+
+def fallbacks(index: TextIndex, query: str) -> Iterator[list[str]]:
+    """The term lists that an AND match tries in turn: as the index stems them, with accents kept, then with the other
+    way to stem, again without and with accents."""
+    other = "light" if index.how == "none" else "none"
+    seen: list[list[str]] = []
+    for how in (index.how, other):
+        for normalize in (True, False):
+            asked = query_terms(index.spark, query, how, normalize)
+            if asked and asked not in seen:
+                seen.append(asked)
+                yield asked
+
+
+def match_any_way(index: TextIndex, query: str) -> DataFrame:
+    """``match_all`` by the first of the ``fallbacks`` that matches anything."""
+    for asked in fallbacks(index, query):
+        found = holds_all(index, asked)
+        if not found.isEmpty():
+            return found
+    return index.postings.select(index.key).limit(0)
+
+
+# ---- ranked
+
+
+def scores(index: TextIndex, query: str) -> DataFrame:
+    """(key, exact) of every document that shares a term with the query."""
+    asked = Counter(query_terms(index.spark, query, index.how))
+    known = {r.term: (1 + math.log(asked[r.term])) * math.log((index.count + 1) / r.df) for r in index.frequency.where(F.col("term").isin(sorted(asked))).collect()} if asked else {}  # a row a word of the query
+    size = math.sqrt(sum(w * w for w in known.values()))
+    if not size:
+        return index.postings.select(index.key, F.lit(0.0).alias("exact")).limit(0)
+    of_term = F.create_map(*(F.lit(x) for item in sorted(known.items()) for x in item))
+    dot = index.of(list(known)).where(F.col("impact").isNotNull()).groupBy(index.key).agg(F.sum(F.col("impact") * of_term[F.col("term")]).alias("dot"))
+    return dot.select(index.key, F.round(F.col("dot") / F.lit(size), EXACT).alias("exact"))
+
+
+def shown(ranked: DataFrame, *columns: str) -> DataFrame:
+    return ranked.select(*columns, F.round("exact", SHOWN).alias("score"))
 
 
 def search(index: TextIndex, query: str, k: int = 10) -> DataFrame:
-    """(key, score) of the ``k`` best by cosine, rounded to 6 places; ties by key."""
-    spark = index.postings.sparkSession
-    asked = Counter(python_terms(query))
-    frame = spark.createDataFrame(sorted(asked.items()), "term string, qtf long")
-    known = index.frequency.where(F.col("term").isin(sorted(asked))).join(F.broadcast(frame), "term").withColumn("qw", weight(F.col("qtf"), F.col("df"), index.count)).persist()
-    size = known.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw")))).first()[0] or 1.0
-    hits = index.postings.where(F.col("term").isin(sorted(asked))).join(F.broadcast(known), "term").groupBy(index.key).agg(F.sum(F.col("qw") * weight(F.col("tf"), F.col("df"), index.count)).alias("dot"))
-    scored = hits.join(index.norms.where("norm > 0"), index.key).select(index.key, F.round(F.col("dot") / (F.col("norm") * F.lit(float(size))), 6).alias("score"))
-    return scored.orderBy(F.desc("score"), index.key).limit(k)
+    """(key, score) of the ``k`` best by cosine; ties by key."""
+    return shown(scores(index, query).orderBy(F.desc("exact"), index.key).limit(k), index.key)
 
 
 def search_many(index: TextIndex, queries: DataFrame, query_key: str, query: str, k: int = 10) -> DataFrame:
-    """(query_key, key, score, rank): a table of queries against the postings in one plan."""
-    from pyspark.sql import Window
-
-    w = weight(F.col("tf"), F.col("df"), index.count)
-    asked = postings(queries, query_key, query).join(index.frequency, "term").select(query_key, "term", w.alias("qw"), "df")
-    size = asked.groupBy(query_key).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    hits = index.postings.join(asked, "term").groupBy(query_key, index.key).agg(F.sum(F.col("qw") * w).alias("dot"))
-    scored = hits.join(index.norms.where("norm > 0"), index.key).join(size, query_key).where("qnorm > 0").select(query_key, index.key, F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), 6).alias("score"))
-    order = Window.partitionBy(query_key).orderBy(F.desc("score"), index.key)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """(query_key, key, score, rank): a table of queries against the postings in one plan.
+
+    The queries' terms with their norms are one table; the postings of terms that no query asks are not read further than
+    the join.  Partial top-k lists are taken before the last shuffle.
+    """
+    asked = with_frequency(postings(queries, query_key, query, index.how), index.frequency).select(query_key, "term", weight(F.col("tf"), F.col("df"), index.count).alias("qw"))
+    size = F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(Window.partitionBy(query_key)))
+    asked = asked.withColumn("size", size).where("size > 0").select(query_key, "term", (F.col("qw") / F.col("size")).alias("qw"))
+    hits = index.postings.where(F.col("impact").isNotNull()).select("term", index.key, "impact").join(asked, "term")
+    scored = hits.groupBy(query_key, index.key).agg(F.round(F.sum(F.col("impact") * F.col("qw")), EXACT).alias("exact"))
+    order = Window.partitionBy(query_key).orderBy(F.desc("exact"), index.key)
+    return shown(scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), query_key, index.key, "rank")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime
-import time
+import json
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +15,9 @@ from pyspark.sql import functions as F
 from mosaica.operators import relational as rel
 from mosaica.operators import spatial, text
 from mosaica.plans import dialect
+from mosaica.plans.metrics import Metrics, plan_rows
 from mosaica.sources.catalog import KINDS, RID, Catalog
-from mosaica.sources.csv import read_csv
+from mosaica.sources.csv import read_csv, read_json_docs
 
 DEFAULT_K = 10
 
@@ -25,6 +28,8 @@ class QueryReport:
     count: int
     time_ms: float
     files: int
+    rows_read: int = 0
+    operators: list[tuple[str, int]] | None = None  # the plan's operators and the rows that each gave
 
 
 def coerce(kind: str, value: Any) -> Any:
@@ -48,7 +53,7 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, database: str = "main", user: str = "default") -> None:
         self.spark, self.catalog, self.database = spark, Catalog(spark, root, user), database
         self.catalog.create_database(database)
-        self.indexes: dict[tuple, text.TextIndex] = {}
+        self.metrics = Metrics()
 
     # ---- SQL
 
@@ -81,33 +86,58 @@ class Engine:
         if len(ranked) > 1:
             raise dialect.SQLError("one ranked condition at most")
         for p in plain:
-            df = spatial.near(df, p.column, p.value, float(p.extra)) if p.op == "NEAR" else df.where(self.condition(df, p))
-        order = [RID]
+            if p.op == "=" and (rows := self.bucket(node.table, p, df)) is not None and len(plain) == 1:
+                df = rows
+            df = df.where(self.condition(df, p))
+        order = [F.col(RID)]
         if ranked and ranked[0].op == "MATCH":
-            hits = text.search(self.text_index(node.table, [ranked[0].column]), ranked[0].value, limit if limit is not None and not plain else DEFAULT_K if limit is None and not plain else 1 << 30)
-            df, order = df.join(hits, RID), [F.desc("score"), RID]
+            hits = text.scores(self.text_index(node.table, [ranked[0].column]), ranked[0].value)  # filtered first, ranked then
+            df, order = df.join(hits, RID), [F.desc("exact"), F.col(RID)]
             limit = DEFAULT_K if limit is None else limit
-            kept = kept and [*kept, "score"]
         elif ranked:
             df = spatial.knn(df, ranked[0].column, ranked[0].value, int(ranked[0].extra))
-            order = ["distance", RID]
+            order = []  # in order already, by the exact distance
         elif any(p.op == "BETWEEN" for p in plain):
-            order = [next(p.column for p in plain if p.op == "BETWEEN"), RID]
-        df = df.orderBy(*order)
+            order = [F.col(next(p.column for p in plain if p.op == "BETWEEN")), F.col(RID)]
+        df = df.orderBy(*order) if order else df
         if limit is not None:
             df = df.limit(limit)
+        if ranked and ranked[0].op == "MATCH":
+            df = df.withColumn("score", F.round("exact", text.SHOWN)).drop("exact")
+            kept = kept and [*kept, "score"]
         return df.select(*kept) if kept else df.drop(RID, "distance")
 
+    def bucket(self, table: str, p: dialect.Predicate, df: DataFrame) -> DataFrame | None:
+        """The rows of the one bucket that can hold a value, if the table lies in buckets of the column."""
+        return self.catalog.bucket_of(self.database, table, p.column, rel.literal(df, p.column, p.value)) if p.value is not None else None
+
     def condition(self, df: DataFrame, p: dialect.Predicate) -> Column:
+        if p.op in ("OR", "NOT"):
+            every = lambda ps: reduce(lambda a, b: a & b, (self.condition(df, x) for x in ps))
+            return reduce(lambda a, b: a | b, map(every, p.value)) if p.op == "OR" else ~every(p.value)
+        if p.op == "NEAR":
+            return spatial.within(p.column, p.value, float(p.extra))
+        if p.op in ("MATCH", "KNN"):
+            raise dialect.SQLError("a ranked condition can only be joined by AND")
         return rel.between(df, p.column, p.value, p.extra) if p.op == "BETWEEN" else rel.compare(df, p.column, p.op, p.value)
 
-    def collect(self, statement: str) -> QueryReport:
-        began = time.perf_counter()
-        df = self.sql(statement)
+    def collect(self, statement: str, limit: int = 100_000) -> QueryReport:
+        """The rows of a statement (at most ``limit`` of them; ``run`` writes larger results) and what it took."""
+        with self.metrics.timer("statement") as spent:
+            df = self.sql(statement)
+            df = df if isinstance(df, dict) else df.limit(limit)
+            rows = [df] if isinstance(df, dict) else [r.asDict() for r in df.collect()]
+        self.metrics.inc("statements")
         if isinstance(df, dict):
-            return QueryReport([df], next((v for v in df.values() if isinstance(v, int)), 0), 1e3 * (time.perf_counter() - began), 0)
-        rows = [r.asDict() for r in df.collect()]
-        return QueryReport(rows, len(rows), 1e3 * (time.perf_counter() - began), len(df.inputFiles()))
+            return QueryReport(rows, next((v for v in df.values() if isinstance(v, int)), 0), spent.ms, 0)
+        operators = plan_rows(df)
+        read = sum(n for name, n in operators if name.startswith(("Scan", "LocalTableScan")))
+        self.metrics.inc("rows read", read)
+        return QueryReport(rows, len(rows), spent.ms, len(df.inputFiles()), read, operators)
+
+    def run(self, statement: str, path: str) -> None:
+        """Writes the rows of a SELECT as Parquet, whatever their number."""
+        self.sql(statement).write.mode("overwrite").parquet(path)
 
     # ---- verbs
 
@@ -117,13 +147,26 @@ class Engine:
         schema = ", ".join(f"`{c.name}` {KINDS[c.kind].simpleString()}" for c in own)
         return self.load(table, self.spark.createDataFrame(data, schema).coalesce(1))
 
-    def load(self, table: str, rows: DataFrame) -> int:
-        self.forget(table)
-        return self.catalog.append(self.database, table, rows)
+    def load(self, table: str, rows: DataFrame, stream: tuple[str, int] | None = None) -> int:
+        with self.metrics.timer("load"):
+            n = self.catalog.append(self.database, table, rows, stream=stream)
+        self.metrics.inc("rows loaded", n)
+        return n
 
-    def load_csv(self, table: str, path: str, lenient: bool = False) -> int:
+    def load_csv(self, table: str, path: str, lenient: bool = False, index: bool = True) -> int:
+        """Loads files and then builds the index of each FULLTEXT column."""
         own = self.catalog.columns(self.database, table)
-        return self.load(table, read_csv(self.spark, path, {c.name: c.kind for c in own}, {c.name: c.length for c in own if c.length}, lenient))
+        n = self.load(table, read_csv(self.spark, path, {c.name: c.kind for c in own}, {c.name: c.length for c in own if c.length}, lenient))
+        for c in own:
+            if index and c.index == "FULLTEXT":
+                self.text_index(table, [c.name])
+        return n
+
+    def load_json_docs(self, table: str, path: str, text_column: str = "text", key_column: str = "doc_id", text_field: str = "text", key_field: str | None = None) -> int:
+        docs = read_json_docs(self.spark, path, text_field, key_field)
+        own = [c.name for c in self.catalog.columns(self.database, table)]
+        named = {key_column: F.col("doc_id"), text_column: F.col("text")}
+        return self.load(table, docs.select(*(named.get(c, F.lit(None)).alias(c) for c in own)))
 
     def delete(self, table: str, where: list[dialect.Predicate]) -> int:
         """Without a condition nothing is deleted."""
@@ -132,12 +175,15 @@ class Engine:
         df, condition = self.catalog.table(self.database, table), F.lit(True)
         for p in where:
             condition = condition & self.condition(df, p)
-        self.forget(table)
         return self.catalog.delete(self.database, table, condition)
 
     def scan(self, table: str, limit: int = 100, offset: int = 0) -> DataFrame:
         return rel.page(self.catalog.table(self.database, table), [RID], limit, offset).drop(RID)
 
+    def page(self, table: str, limit: int = 100, offset: int = 0) -> tuple[DataFrame, int]:
+        """A page in order of insertion, and the number of rows of the table (from its pointer)."""
+        return self.scan(table, limit, offset), self.catalog.rows(self.database, table)
+
     def fetch(self, table: str, rid: int) -> DataFrame:
         return self.catalog.table(self.database, table).where(F.col(RID) == rid)
 
@@ -145,7 +191,9 @@ class Engine:
         """Rows of a value; on a FULLTEXT column, rows that hold all its words."""
         df = self.catalog.table(self.database, table)
         if df.schema[column].metadata.get("index") == "FULLTEXT":
-            return text.match_all(df, column, value).orderBy(RID).drop(RID)
+            return df.join(text.match_any_way(self.text_index(table, [column]), value), RID, "left_semi").orderBy(RID).drop(RID)
+        rows = self.bucket(table, dialect.Predicate(column, "=", value), df)
+        df = df if rows is None else rows
         return df.where(rel.equals(df, column, value)).orderBy(RID).drop(RID)
 
     def range(self, table: str, column: str, low: Any, high: Any) -> DataFrame:
@@ -160,20 +208,30 @@ class Engine:
 
     # ---- full text
 
-    def text_index(self, table: str, columns: list[str]) -> text.TextIndex:
-        """The index of a table's columns, built when first asked for and after changes."""
-        key = (table, tuple(columns))
-        if key not in self.indexes:
-            rows = self.catalog.table(self.database, table)
-            joined = text.joined(columns)
-            if len(columns) > 1:
-                rows = rows.where(F.length(F.trim(joined)) > 0)
-            self.indexes[key] = text.build(rows, RID, joined if len(columns) > 1 else F.col(columns[0]))
-        return self.indexes[key]
+    def text_index(self, table: str, columns: list[str], how: str = "light") -> text.TextIndex:
+        """The index of a table's columns: written when first asked for and after changes, found by any engine."""
+        meta, name = self.catalog.meta(self.database, table), json.dumps([columns, how])
+        where = self.catalog.path(self.database, table)
+        if name in meta["text"]:
+            return text.load(self.spark, f"{where}/{meta['text'][name]}", RID)
+        rows, joined = self.catalog.table(self.database, table), text.joined(columns)
+        if len(columns) > 1:
+            rows = rows.where(F.length(F.trim(joined)) > 0)
+        folder = f"_text_{uuid.uuid4().hex}"
+        with self.metrics.timer("text index"):
+            made = text.build(rows, RID, joined if len(columns) > 1 else F.col(columns[0]), f"{where}/{folder}", how)
+        now = self.catalog.meta(self.database, table)
+        if now["parts"] == meta["parts"]:  # of the rows that it was built from
+            self.catalog.point(self.database, table, now | {"text": now["text"] | {name: folder}})
+        return made
 
     def text_search(self, table: str, columns: list[str], query: str, k: int = DEFAULT_K) -> DataFrame:
-        hits = text.search(self.text_index(table, columns), query, k)
-        return hits.join(self.catalog.table(self.database, table), RID).orderBy(F.desc("score"), RID)
-
-    def forget(self, table: str) -> None:
-        self.indexes = {k: v for k, v in self.indexes.items() if k[0] != table}
+        if not 1 <= k <= 1000:
+            raise ValueError("k is 1 to 1000")
+        hits = text.scores(self.text_index(table, columns), query).orderBy(F.desc("exact"), RID).limit(k)
+        rows = hits.join(self.catalog.table(self.database, table), RID).orderBy(F.desc("exact"), RID)
+        return rows.withColumn("score", F.round("exact", text.SHOWN)).drop("exact")
+
+    def text_terms(self, table: str, columns: list[str]) -> DataFrame:
+        """The terms of an index in order."""
+        return self.text_index(table, columns).terms()

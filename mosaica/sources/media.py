@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The suffixes of media files.
 IMAGES = (".jpg", ".jpeg", ".png")
 AUDIO = (".mp3", ".wav", ".flac", ".ogg")
 
@@ -20,7 +21,8 @@ def media_files(spark: SparkSession, path: str, suffixes: tuple[str, ...]) -> Da
 
 
 def descriptors(files: DataFrame, extract: Callable[[bytes], np.ndarray]) -> DataFrame:
-    """(object_id, desc_no, vec): ``extract`` gives a matrix a file; files that give none are left out."""
+    """(object_id, desc_no, vec): ``extract`` gives a matrix a file (``sources.descriptors`` has two); files that give none
+    are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
