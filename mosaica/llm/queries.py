@@ -60,9 +60,9 @@ def op8_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licences of all documents, as files ``source/lang/doc-id``; a directory's first licensed file speaks for it."""
+    """Licences of all documents, as files ``source/lang/doc-id``; a document that is mostly a licence speaks for its directory."""
     path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.concat(F.lit("doc-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text"), licence_file=F.lit(True))
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text"))
 
 
 def op10_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mosaica.llm.common import tidied
+
 FIELDS = ["record_id", "record_type", "refers_to", "target_uri", "date", "content_type", "payload_digest", "block_digest", "content_length", "block"]
 RECORD = "record_id string, record_type string, refers_to string, target_uri string, date string, content_type string, payload_digest string, block_digest string, content_length long, block string"
 DATE = "1970-01-01T00:00:00Z"
@@ -44,9 +46,25 @@ TITLE = r"(?is)<title(?:[ \t\r\n/][^>]*)?>(.*?)</title"
 LINK = r"(?i)<a[ \t\r\n](?:[^>]*[ \t\r\n])?href=\"([^\"]*)\""
 
 
+#: Markup by what ends it: behind the last such end nothing matches, and looking there for an end that never comes
+#: would take time quadratic in the text.
+LAST = {CLEANING[0][0]: r"(?s)^.*-->", CLEANING[1][0]: r"(?is)^.*</script[ \t\r\n]*>", CLEANING[2][0]: r"(?is)^.*</style[ \t\r\n]*>", CLEANING[3][0]: r"(?s)^.*>", CLEANING[4][0]: r"(?s)^.*>"}
+
+
+def replaced(html: Column, pattern: str, to: str) -> Column:
+    """``html`` with what ``pattern`` matches, up to the last end of such an element, replaced; each value is computed once."""
+
+    def cut(whole: Column) -> Column:
+        head = F.regexp_extract(whole, LAST[pattern], 0)
+        rest = lambda h: F.concat(F.regexp_replace(h, pattern, to), F.substring(whole, F.length(h) + 1, F.length(whole)))
+        return F.transform(F.array(head), rest)[0]
+
+    return F.transform(F.array(html), cut)[0]
+
+
 def plain_text(html: Column) -> Column:
     for pattern, to in CLEANING:
-        html = F.regexp_replace(html, pattern, to)
+        html = replaced(html, pattern, to) if pattern in LAST else F.regexp_replace(html, pattern, to)
     return html
 
 
@@ -156,6 +174,9 @@ def oracle() -> str:
 
     def clean(e: str) -> str:
         for pattern, to in CLEANING:
+            if pattern in LAST:
+                e = f"list_transform(list_transform([{e}], lambda x: [x, regexp_extract(x, {_literal(LAST[pattern])}, 0)]), lambda p: regexp_replace(p[2], {_literal(pattern)}, {_literal(to).replace(chr(10), chr(39) + ' || chr(10) || ' + chr(39))}, 'g') || substr(p[1], length(p[2]) + 1))[1]"
+                continue
             e = f"regexp_replace({e}, {_literal(pattern)}, {_literal(to).replace(chr(10), chr(39) + ' || chr(10) || ' + chr(39))}, 'g')"
         return e
 
