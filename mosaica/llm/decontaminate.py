@@ -11,7 +11,8 @@ item if consistent occurrences cover ``coverage`` of the item's windows of a fam
 values (``reparameterised``).
 
 Only DataFrame expressions.  The benchmark's windows are broadcast when there are at most
-``BROADCAST_WINDOWS``; otherwise texts' windows are shuffled, with nothing but hashes and positions.
+``BROADCAST_WINDOWS``; otherwise texts' windows are shuffled.  Beside a window lie
+hashes and positions only, so one very long text takes as long as many short ones.
 
 Edge cases: null and empty texts and items match nothing, nor do items of fewer than ``LEAST`` tokens; rows equal
 in id and text are one; null ids are kept in results; other columns are ignored; text of one long token has no
@@ -23,10 +24,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mosaica.llm.common import save
+
 WINDOW = 8
 LEAST = 4
 COVERAGE = 0.5
 BROADCAST_WINDOWS = 200_000
+#: Texts with a spot whose keys (16 bytes each) may be sent to every task.
+BROADCAST_TEXTS = 2_000_000
 #: Units of measure that count as such after a number.
 UNITS = "mm cm m km in ft yd mi mg g kg t oz lb lbs ml l s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents usd eur mph kmh meter meters metre metres kilometer kilometers kilometre kilometres mile miles inch inches foot feet gram grams kilogram kilograms pound pounds liter liters litre litres degree degrees".split()
 NUMBER, NAME, UNIT = "\x01", "\x02", "\x03"
@@ -114,32 +119,51 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return out
 
 
-def hits(docs: DataFrame, bench: DataFrame, kinds: list[tuple[str, int]], small: bool) -> DataFrame:
-    """(doc_id, text_hash, family, item_id, bare, whole, of, pos, at, of the item: values, of the text: found, typed) of equal windows.
+def spots(docs: DataFrame, bench: DataFrame, kinds: list[tuple[str, int]], small: bool) -> DataFrame:
+    """(doc_id, text_hash, spots) of texts with windows of equal hashes: structs of family, size, item_id, at, pos.
 
-    ``typed``: the text's template is equal as well.
+    Nothing but hashes and positions lies beside a window.
     """
     out = None
     for family, size in kinds:
         base = docs.where(F.length("text") > 0).select("doc_id", F.xxhash64("text").alias("text_hash"), marked(F.col("text")).alias("mark"))
-        mark = F.col("mark") if family == "plain" else view(F.col("mark"), family)
-        words = F.when(F.length("mark") > 0, F.split(mark, " ")).otherwise(F.array().cast("array<string>"))
-        mine = bench.where((F.col("family") == family) & (F.col("size") == size))
-        typed = (lambda v: F.transform(v, plain)) if family == "plain" else template
-        keys = windows(F.when(F.length("mark") > 0, F.split(plain(F.col("mark")), " ")).otherwise(F.array().cast("array<string>")) if family == "plain" else template(words), size)
-        if small:
-            rows = base.select("doc_id", "text_hash", "mark", F.posexplode(keys).alias("pos", "key")).join(F.broadcast(mine), "key")
-        else:
-            thin = base.select("doc_id", "text_hash", F.posexplode(keys).alias("pos", "key")).join(mine, "key")
-            rows = thin.join(base.distinct(), (thin["doc_id"].eqNullSafe(base["doc_id"])) & (thin["text_hash"] == base["text_hash"])).select(thin["*"], "mark")
-        found = F.slice(words, F.col("pos") + 1, size)
-        # not an equality, which would become a join key that is computed for every window of every text
-        same = F.array_contains(F.array("window"), F.array_join(typed(found), " "))
-        value = found if family == "folded" else typed(found) if family == "plain" else single(found)
-        also = ~F.exists(found, lambda x: x < "\x04") if family == "plain" else F.lit(True)
-        rows = rows.where(same).select("doc_id", "text_hash", "family", "item_id", "bare", "whole", "of", "pos", "at", "values", value.alias("found"), also.alias("typed"))
+        words = tokens(plain(F.col("mark"))) if family == "plain" else template(tokens(view(F.col("mark"), family)))
+        mine = bench.where((F.col("family") == family) & (F.col("size") == size)).select("key", "item_id", "at")
+        rows = base.select("doc_id", "text_hash", F.posexplode(windows(words, size)).alias("pos", "key")).join(F.broadcast(mine) if small else mine, "key")
+        rows = rows.select("doc_id", "text_hash", F.struct(F.lit(family).alias("family"), F.lit(size).alias("size"), "item_id", "at", "pos").alias("spot"))
         out = rows if out is None else out.unionAll(rows)
-    return out
+    return out.groupBy("doc_id", "text_hash").agg(F.collect_set("spot").alias("spots"))
+
+
+def hits(docs: DataFrame, bench: DataFrame, kinds: list[tuple[str, int]], small: bool) -> DataFrame:
+    """(doc_id, text_hash, family, item_id, bare, whole, of, pos, at, of the item: values, of the text: found, typed) of equal windows.
+
+    ``typed``: the text's template is equal as well.  Only texts with a spot are marked again, once each.
+    """
+    where = save(spots(docs, bench, kinds, small))
+    named = where.select(F.col("doc_id").alias("spot_id"), F.col("text_hash").alias("spot_hash"))
+    few = where.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS  # 16 bytes each
+    same_text = F.col("doc_id").eqNullSafe(F.col("spot_id")) & (F.col("text_hash") == F.col("spot_hash"))
+    texts = docs.where(F.length("text") > 0).select("doc_id", F.xxhash64("text").alias("text_hash"), "text").join(F.broadcast(named) if few else named, same_text, "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    at = where.select(F.col("doc_id").alias("spot_id"), F.col("text_hash").alias("spot_hash"), "spots")
+    families = sorted({f for f, _ in kinds})
+    held = texts.join(at, same_text).select("doc_id", "text_hash", "spots", marked(F.col("text")).alias("mark"))
+
+    def pieces(words: Column) -> Column:
+        of = lambda s: F.coalesce(*(F.when(s["family"] == f, F.slice(words[f], s["pos"] + 1, s["size"])) for f in families))
+        return F.transform("spots", lambda s: F.struct(s.alias("s"), of(s).alias("found")))
+
+    # plain windows are cut from the marked tokens too, which say whether they are typed
+    every = F.struct(*(tokens(F.col("mark") if f == "plain" else view(F.col("mark"), f)).alias(f) for f in families))
+    rows = held.select("doc_id", "text_hash", F.explode(once(every, pieces)).alias("p")).select("doc_id", "text_hash", "p.s.family", "p.s.item_id", "p.s.at", "p.s.pos", "p.found")
+    rows = rows.join(F.broadcast(bench) if small else bench, ["family", "item_id", "at"])
+    bare_words = F.transform("found", plain)
+    typed = F.when(F.col("family") == "plain", bare_words).otherwise(template(F.col("found")))
+    # not an equality, which would become a join key
+    same = F.array_contains(F.array("window"), F.array_join(typed, " "))
+    value = F.when(F.col("family") == "folded", F.col("found")).when(F.col("family") == "plain", bare_words).otherwise(single(F.col("found")))
+    also = (F.col("family") != "plain") | ~F.exists("found", lambda x: x < "\x04")
+    return rows.where(same).select("doc_id", "text_hash", "family", "item_id", "bare", "whole", "of", "pos", "at", "values", value.alias("found"), also.alias("typed"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
