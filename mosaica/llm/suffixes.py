@@ -10,7 +10,7 @@ the first of the next kind.  A match is extended left and right word by word; fr
 keeps the passage, so every passage that is cut somewhere stays somewhere.
 
 The sort is a range partitioning with the document among its keys, so suffixes that thousands of documents share are
-spread over tasks; a few rows from the ends of each partition are compared again across partitions.  Equal texts are
+spread over tasks, which compare ``ROWS`` at once; a dozen rows from the ends of each piece are compared again across pieces.  Equal texts are
 one document with copies, collapsed before anything else.
 
 Edge cases: null and empty texts, and those of fewer than ``MIN_WORDS`` words, have no repeats; null ids come last in
@@ -35,6 +35,8 @@ WINDOW = 20
 KEY = MIN_WORDS - WINDOW + 1
 SIDE = WINDOW - 1  # words of context on either side that can complete a passage
 LAST = (1 << 63) - 1
+#: Sorted suffixes (some 200 bytes each) that a task compares at once.
+ROWS = 100_000
 
 ROW = "key long, right binary, left binary, doc long, node long, pos int"
 SPAN = "node long, start int, end int, removed boolean, other long"
@@ -163,16 +165,26 @@ def repeats(rows: DataFrame) -> DataFrame:
     kinds = {"key": pa.int64(), "right": pa.binary(), "left": pa.binary(), "doc": pa.int64(), "node": pa.int64(), "pos": pa.int32()}
     names = {"start": pa.int32(), "end": pa.int32(), "removed": pa.bool_(), "other": pa.int64()}
 
+    limit = ROWS
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            for a in range(0, batch.num_rows, limit):
+                held.append(batch.slice(a, limit))
+                if sum(len(b) for b in held) >= limit:
+                    yield pa.Table.from_batches(held)
+                    held = []
+        if held:
+            yield pa.Table.from_batches(held)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        every = pa.Table.from_batches(held)
-        found, ends = neighbours(every)
-        k = len(found)
-        yield pa.RecordBatch.from_arrays([found["node"] if c == "node" else pa.nulls(k, t) for c, t in kinds.items()] + [found[c] for c in names], [*kinds, *names])
-        some = every.take(pa.array(ends)).combine_chunks().to_batches()[0]
-        yield pa.RecordBatch.from_arrays([some[c] for c in kinds] + [pa.nulls(len(some), t) for t in names.values()], [*kinds, *names])
+        for every in pieces(batches):
+            found, ends = neighbours(every)
+            k = len(found)
+            yield pa.RecordBatch.from_arrays([found["node"] if c == "node" else pa.nulls(k, t) for c, t in kinds.items()] + [found[c] for c in names], [*kinds, *names])
+            some = every.take(pa.array(ends)).combine_chunks().to_batches()[0]
+            yield pa.RecordBatch.from_arrays([some[c] for c in kinds] + [pa.nulls(len(some), t) for t in names.values()], [*kinds, *names])
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -181,7 +193,7 @@ def repeats(rows: DataFrame) -> DataFrame:
 
     made = save(rows.repartitionByRange(partitions(rows.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(tidied(run), f"{ROW}, start int, end int, removed boolean, other long"))
     spans = made.where("key is null").select("node", "start", "end", "removed", "other")
-    edges = made.where("key is not null").select(*order).coalesce(1).sortWithinPartitions(*order)  # a few rows a partition
+    edges = made.where("key is not null").select(*order).coalesce(1).sortWithinPartitions(*order)  # a dozen of every ROWS rows
     return spans.unionAll(edges.mapInArrow(tidied(across), SPAN))
 
 

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from mosaica.llm import suffixes
@@ -42,7 +43,9 @@ def corpus(seed, docs=120):
     return rows
 
 
-def test_every_repeat_is_found(make_docs):
+@pytest.mark.parametrize("at_once", [150, suffixes.ROWS])
+def test_every_repeat_is_found(make_docs, monkeypatch, at_once):
+    monkeypatch.setattr(suffixes, "ROWS", at_once)
     rows = corpus(1)
     got = {}
     for r in suffixes.repeated_passages(make_docs(rows)).collect():
