@@ -23,10 +23,10 @@ def distance(column: str | Column, point: Sequence[float], dims: int | None = No
 
 
 def within(column: str, point: Sequence[float], radius: float, dims: int | None = None, scalars: Sequence[str] | None = None) -> Column:
-    """Within ``radius`` (inclusive).  ``scalars`` name columns of the coordinates: their box reaches the files."""
+    """Within ``radius`` (inclusive).  ``scalars`` name columns of the first coordinates: their box reaches the files."""
     box = F.col(column).isNotNull()
     for i, v in enumerate(point):
-        c = F.col(scalars[i]) if scalars else F.col(column)[i].cast("double")
+        c = F.col(scalars[i]) if scalars and i < len(scalars) else F.get(F.col(column), F.lit(i)).cast("double")
         box = box & (c >= F.lit(float(v) - radius)) & (c <= F.lit(float(v) + radius))
     return box & (distance(column, point, dims) <= F.lit(float(radius)))
 

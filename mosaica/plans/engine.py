@@ -80,13 +80,13 @@ class Engine:
         return dict(zip(names, values, strict=True))
 
     def select(self, node: dialect.Select) -> DataFrame:
-        df, kept, limit = self.catalog.table(self.database, node.table), node.columns, node.limit
+        df, kept, limit = self.catalog.table(self.database, node.table, shadows=True), node.columns, node.limit
         plain = [p for p in node.where if p.op not in ("MATCH", "KNN")]
         ranked = [p for p in node.where if p.op in ("MATCH", "KNN")]
         if len(ranked) > 1:
             raise dialect.SQLError("one ranked condition at most")
         for p in plain:
-            if p.op == "=" and (rows := self.bucket(node.table, p, df)) is not None and len(plain) == 1:
+            if p.op == "=" and len(node.where) == 1 and (rows := self.bucket(node.table, p, df)) is not None:
                 df = rows
             df = df.where(self.condition(df, p))
         order = [F.col(RID)]
@@ -105,18 +105,23 @@ class Engine:
         if ranked and ranked[0].op == "MATCH":
             df = df.withColumn("score", F.round("exact", text.SHOWN)).drop("exact")
             kept = kept and [*kept, "score"]
-        return df.select(*kept) if kept else df.drop(RID, "distance")
+        return df.select(*kept) if kept else df.drop(RID, "distance", *self.catalog.shadows(self.database, node.table))
 
     def bucket(self, table: str, p: dialect.Predicate, df: DataFrame) -> DataFrame | None:
         """The rows of the one bucket that can hold a value, if the table lies in buckets of the column."""
         return self.catalog.bucket_of(self.database, table, p.column, rel.literal(df, p.column, p.value)) if p.value is not None else None
 
+    @staticmethod
+    def coordinates(df: DataFrame, column: str) -> list[str]:
+        """The hidden columns that hold the coordinates of a column, if ``df`` has them."""
+        return [name for name in (f"__{column}_0", f"__{column}_1") if name in df.columns]
+
     def condition(self, df: DataFrame, p: dialect.Predicate) -> Column:
         if p.op in ("OR", "NOT"):
             every = lambda ps: reduce(lambda a, b: a & b, (self.condition(df, x) for x in ps))
             return reduce(lambda a, b: a | b, map(every, p.value)) if p.op == "OR" else ~every(p.value)
         if p.op == "NEAR":
-            return spatial.within(p.column, p.value, float(p.extra))
+            return spatial.within(p.column, p.value, float(p.extra), scalars=self.coordinates(df, p.column))
         if p.op in ("MATCH", "KNN"):
             raise dialect.SQLError("a ranked condition can only be joined by AND")
         return rel.between(df, p.column, p.value, p.extra) if p.op == "BETWEEN" else rel.compare(df, p.column, p.op, p.value)
@@ -201,7 +206,9 @@ class Engine:
         return df.where(rel.between(df, column, low, high)).orderBy(column, RID).drop(RID)
 
     def near(self, table: str, column: str, point: list[float], radius: float) -> DataFrame:
-        return spatial.near(self.catalog.table(self.database, table), column, point, radius).orderBy(RID).drop(RID)
+        df = self.catalog.table(self.database, table, shadows=True)
+        rows = spatial.near(df, column, point, radius, scalars=self.coordinates(df, column)).orderBy(RID)
+        return rows.drop(RID, *self.catalog.shadows(self.database, table))
 
     def knn(self, table: str, column: str, point: list[float], k: int = 1) -> DataFrame:
         return spatial.knn(self.catalog.table(self.database, table), column, point, k).drop(RID)

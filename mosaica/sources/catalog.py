@@ -123,9 +123,18 @@ class Catalog:
     def schema(self, database: str, table: str) -> T.StructType:
         return T.StructType([T.StructField(c.name, KINDS[c.kind], True, {"length": c.length, "primary": c.primary, "index": c.index} if c.length else {"primary": c.primary, "index": c.index}) for c in self.columns(database, table)])
 
-    def table(self, database: str, table: str) -> DataFrame:
-        """The current rows, with ``__rid``: a number in order of insertion."""
+    def shadows(self, database: str, table: str) -> dict[str, tuple[str, int]]:
+        """Hidden columns: the first two coordinates of each RTREE column, whose ranges files know."""
+        return {f"__{c.name}_{i}": (c.name, i) for c in self.columns(database, table) if c.kind == "ARRAY" and c.index == "RTREE" for i in (0, 1)}
+
+    def shadowed(self, database: str, table: str, rows: DataFrame) -> DataFrame:
+        return rows.withColumns({name: F.get(F.col(f"`{c}`"), F.lit(i)) for name, (c, i) in self.shadows(database, table).items()})
+
+    def table(self, database: str, table: str, shadows: bool = False) -> DataFrame:
+        """The current rows, with ``__rid``: a number in order of insertion; with ``shadows`` the hidden columns too."""
         meta, schema = self.meta(database, table), self.schema(database, table).add(RID, "long")
+        for name in self.shadows(database, table) if shadows else ():
+            schema = schema.add(name, "double")
         if not meta["parts"]:
             return self.spark.createDataFrame([], schema)
         where, dealt = self.path(database, table), (meta.get("buckets") or {}).get("part")
@@ -142,7 +151,7 @@ class Catalog:
     def write(self, database: str, table: str, rows: DataFrame) -> tuple[str, int, int | None]:
         """A new folder with ``rows`` that no pointer names yet; how many there are, and the largest number among them."""
         name, seen = f"p{uuid.uuid4().hex}", Observation()
-        rows.observe(seen, F.count(F.lit(1)).alias("n"), F.max(RID).alias("high")).write.parquet(f"{self.path(database, table)}/{name}")
+        self.shadowed(database, table, rows).observe(seen, F.count(F.lit(1)).alias("n"), F.max(RID).alias("high")).write.parquet(f"{self.path(database, table)}/{name}")
         found = seen.get
         return name, found.get("n") or 0, found.get("high")
 
@@ -163,7 +172,7 @@ class Catalog:
             both = self.table(database, table).select(*keys).unionByName(rows.select(*keys))
             if both.groupBy(*keys).count().where("count > 1").limit(1).count():
                 raise ValueError("a primary key is not unique")
-        cells = [F.substring(F.col(f"`{f.name}`"), 1, f.metadata["length"]).alias(f.name) if f.metadata.get("length") else F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema]
+        cells: list[Column] = [F.substring(F.col(f"`{f.name}`"), 1, f.metadata["length"]).alias(f.name) if f.metadata.get("length") else F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema]
         # numbers follow on from those given out: a partition's place times 2^33, above all before
         numbered = rows.select(*cells, (F.monotonically_increasing_id() + F.lit(meta["next_rid"])).alias(RID))
         name, n, high = self.write(database, table, numbered)
@@ -200,7 +209,7 @@ class Catalog:
         An append leaves the buckets; until the next ``hash_out`` look-ups read all files again.
         """
         meta, where, name = self.meta(database, table), self.path(database, table), f"p{uuid.uuid4().hex}"
-        rows = self.table(database, table)
+        rows = self.shadowed(database, table, self.table(database, table))
         bucket = F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
         rows.withColumn(BUCKET, bucket).repartition(buckets, BUCKET).sortWithinPartitions(BUCKET, column, RID).write.partitionBy(BUCKET).parquet(f"{where}/{name}")
         self.point(database, table, meta | {"parts": [name], "text": {}, "buckets": {"column": column, "count": buckets, "part": name}})

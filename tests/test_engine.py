@@ -71,6 +71,17 @@ def test_points(engine):
         engine.knn("Lugares", "coord", [1.0, 2.0, 3.0], 1).collect()
 
 
+def test_boxes_reach_the_files(spark, engine):
+    engine.sql("CREATE TABLE p (id INT KEY, spot ARRAY[FLOAT] INDEX RTREE)")
+    engine.load("p", spark.range(2000).select("id", F.array((F.col("id") % 50).cast("double"), F.floor(F.col("id") / 50).cast("double")).alias("spot")))
+    engine.catalog.lay_out("main", "p", "spot", 8)
+    df = engine.sql("SELECT * FROM p WHERE NEAR(spot, [3, 4]) RADIUS 1")
+    assert sorted(r.id for r in df.collect()) == [153, 202, 203, 204, 253] and df.columns == ["id", "spot"]
+    plan = df._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(__spot_0,2.0)" in plan  # among the PushedFilters, which are cut short here
+    assert engine.near("p", "spot", [3.0, 4.0], 1.0).columns == ["id", "spot"]
+
+
 def test_text(engine):
     engine.sql("CREATE TABLE Docs USING INDEX btree(id), fulltext(title), fulltext(body)")
     engine.sql("INSERT INTO Docs VALUES (id=1, title='Amor', body='amor en tiempos de guerra'), (2, 'Paz', 'los tiempos'), (3, 'Nada', 'Ámores y guerras')")
