@@ -92,8 +92,10 @@ def test_odd_input(spark, make_docs, name):
     assert sorted(map(str, out.select(*[c for c in out.columns if c not in names or name == "bpe_encoding"]).collect())) == want
     assert work(spark, more.limit(0), SF).count() == 0
     kept = {r.doc_id for r in out.collect()}
-    if name in ("ngram_jaccard_join", "suffix_array_dedup", "benchmark_decontamination"):
-        assert {1, 2, 3, 4, 5, 6, 7, 8, 9} <= kept
+    if name == "ngram_jaccard_join":  # 6 and one without id are near copies of 5
+        assert kept - {None} == {1, 2, 3, 4, 5, 7, 8, 9} and sum(r.text is None for r in out.collect()) == 2
+    elif name in ("suffix_array_dedup", "benchmark_decontamination"):
+        assert kept >= {1, 2, 3, 4, 5, 6, 7, 8, 9}
     count = sum(r.doc_id == 4 for r in out.collect())
     assert count == {"ngram_jaccard_join": 1}.get(name, 2)
 
