@@ -1,5 +1,4 @@
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,7 +72,7 @@ def test_many_vectors_in_any_partitioning(spark):
     centres = rng.normal(size=(200, 16))
     which = np.where(rng.random(50_000) < 1 / 3, 0, rng.integers(1, 200, 50_000))
     x = (centres[which] + 0.3 * rng.normal(size=(50_000, 16))).astype(np.float32)
-    frame = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(50_000), "embedding": list(x)}), "vec_id long, embedding array<float>")
+    frame = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>")
     asked = frame.where(F.col("vec_id") % 500 == 0)
 
     def found(rows):
