@@ -1,7 +1,9 @@
 """Licence scans: sparse TF-IDF cosine of headers and licence files to templates, inherited along directories.
 
 A file is compared by its passages: each block (lines without a blank one between them) that has a word that speaks of
-licences, each stretch of a line around such a word, and the whole text.  Passages and templates are sparse vectors,
+licences, each stretch of a line around such a word, and the whole text.  A passage takes part if templates know half of its
+words.  The words that speak of licences follow from the templates: a passage without any of them cannot reach the threshold
+(``cues``; but for "mit", a common German word, which speaks of licences in capitals only).  Passages and templates are sparse vectors,
 a row a word; a hash join on words gives their products.  A template is a licence's text, its usual header, or a
 statement or SPDX line made by rule from its names.  The licence of the largest cosine is the file's own, from
 ``threshold`` on.
@@ -95,10 +97,16 @@ TEXTS = {
 }
 THRESHOLD = 0.78
 SHARE = 0.5
-#: A stretch of a line: up to six words before and fourteen after a word that speaks of licences.
-CUE = r"(?i)(?:[^ \n]+ ){0,6}(?:unlicen|licen[cs]e[ds]?|released|copyright|redistribution|permission|rights|dedicated|spdx-|proprietary|waived|subject|unencumbered)(?:[^ \n]*)(?: [^ \n]+){0,14}"
-#: A cheap test that any text with such a word passes, and blocks with one.
-HINT = r"(?i)licen[cs]e|released|copyright|redistribution|permission|rights|dedicated|spdx-|proprietary|waived|subject|unencumbered"
+#: A stretch of a line: so many words before and behind a word that speaks of licences.
+BEFORE, BEHIND = 6, 14
+#: Words that speak of licences, by their beginnings; ``cues`` adds what templates need besides.
+SPEAKS = ["unlicen", "licen", "releas", "copyright", "redistribut", "permission", "rights", "dedicated", "spdx", "proprietary", "waived", "subject", "unencumbered"]
+#: Words of templates that any prose has: they speak of licences only if a template cannot be told without them.
+PLAIN = set("""1 2 3 a above all also an and any are as at be been being but by can code contact copies copy details do does either following for from had has have if in into is it its
+    limited list made make may met more must name names new no not obtain of on one only option or other out part person see so such that the their them then there these they this
+    those to under use used want was were which who will with without you your""".split())
+#: Words of templates that are ordinary ones elsewhere (German: with): they speak of licences in capitals only.
+CAPITALS = {"mit"}
 #: Blank lines part blocks.
 BLANK = r"\n[ \t\r]*\n"
 WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
@@ -130,19 +138,55 @@ def literal_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFram
     return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")).alias("r")).select("r.*")
 
 
-def passages(text: Column) -> Column:
-    blocks = F.filter(F.split(text, BLANK), lambda b: b.rlike(HINT))
-    return F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(CUE), F.lit(0)), blocks, F.array(text)))
+def cues(threshold: float = THRESHOLD) -> str:
+    """A pattern of the words that speak of licences: what reaches ``threshold`` with a template has one (RE2 and Java).
 
+    Without a template's words of squared weights ``s`` together a cosine with it is at most ``sqrt(1 - s)``.  So words are
+    added, those that lack most first, until no template can be reached without one.
+    """
+    wordings: dict[int, dict[str, float]] = {}
+    for i, _, w, x in vectors()[1]:
+        wordings.setdefault(i, {})[w] = x * x
+    need = 1 - max(threshold - 1e-6, 0) ** 2 + 1e-9
+    added: set[str] = set()
+    for usable in (lambda w: w not in PLAIN and "k" not in w, lambda w: True):  # a k has a third form (the Kelvin sign)
+        while True:
+            gain: Counter[str] = Counter()
+            for words in wordings.values():
+                lacks = need - sum(x for w, x in words.items() if w in added or w.startswith(tuple(SPEAKS)))
+                if lacks > 0:
+                    gain.update({w: min(x, lacks) for w, x in words.items() if w not in added and not w.startswith(tuple(SPEAKS)) and usable(w)})
+            if not gain:
+                break
+            added.add(min(gain, key=lambda w: (-gain[w], w)))
+    ends: dict[str, list[str]] = {}  # by first letter, so that few are tried at a place
+    for w in SPEAKS:
+        ends.setdefault(w[0], []).append(w[1:])
+    for w in sorted(added - CAPITALS):
+        ends.setdefault(w[0], []).append(re.escape(w[1:]).replace("\\-", "-") + "(?:[^A-Za-z0-9]|$)")
+    capitals = "|".join(w.upper() for w in sorted(CAPITALS & added))
+    return "(?:^|[^A-Za-z0-9])(?:(?i:" + "|".join(f"{c}(?:{'|'.join(e)})" for c, e in sorted(ends.items())) + ")" + (f"|(?:{capitals})(?:[^A-Za-z0-9]|$)" if capitals else "") + ")"
 
-def own_licences(texts: DataFrame) -> DataFrame:
-    """(h1, h2, score, licence, mostly) of the best passage of each text of (h1, h2, text); texts are different."""
+
+def passages(text: Column, cue: str) -> Column:
+    blocks = F.filter(F.split(text, BLANK), lambda b: b.rlike(cue))
+    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(cue))
+    words = F.transform(lines, lambda line: F.filter(F.split(line, "[ \t\r]+"), lambda w: w != ""))
+    first = lambda i: F.greatest(i - BEFORE, F.lit(1))
+    stretch = lambda w: F.transform(F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: F.element_at(w, i).rlike(cue)), lambda i: F.array_join(F.slice(w, first(i), i + BEHIND + 1 - first(i)), " "))
+    return F.array_distinct(F.concat(F.flatten(F.transform(words, stretch)), blocks, F.array(text)))
+
+
+def own_licences(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(h1, h2, score, found, mostly) of the best passage of each text of (h1, h2, text), if any; texts are different.
+
+    Passages are those that can reach ``threshold``; what is below it is not left out."""
     spark = texts.sparkSession
     idf, templates = vectors()
     vocabulary = F.broadcast(literal_rows(spark, [{"word": w, "idf": i} for w, i in idf.items()], "word:string,idf:double"))
     weights = F.broadcast(literal_rows(spark, [{"wording": i, "licence": k, "word": w, "weight": x} for i, k, w, x in templates], "wording:int,licence:string,word:string,weight:double"))
     split = lambda c: F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
-    rows = texts.select("h1", "h2", F.size(split(F.col("text"))).alias("all_words"), F.posexplode(passages(F.col("text"))).alias("place", "passage"))
+    rows = texts.select("h1", "h2", F.size(split(F.col("text"))).alias("all_words"), F.posexplode(passages(F.col("text"), cues(threshold))).alias("place", "passage"))
     words = rows.select("h1", "h2", "place", "all_words", split(F.col("passage")).alias("w")).select("h1", "h2", "place", "all_words", F.size("w").alias("n_words"), F.explode("w").alias("word"))
     own = ["h1", "h2", "place", "all_words", "n_words"]
     counted = words.join(vocabulary, "word").groupBy(*own, "word", "idf").agg(F.count("*").alias("n"))
@@ -166,10 +210,9 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", threshold: fl
     kept = [c for c in files.columns if c not in (text, *RESULTS)]
     place = {c: f"c{i}" for i, c in enumerate(kept)}  # names that no column of ours has
     body, where = F.col(text).cast("string"), F.coalesce(F.col(path).cast("string"), F.lit(""))
-    speaks = F.coalesce(body.rlike(HINT), F.lit(False))
-    keys = [F.when(speaks, F.xxhash64(body)).alias("h1"), F.when(speaks, F.xxhash64(F.lit("second"), body)).alias("h2")]
-    texts = files.where(speaks).select(*keys, body.alias("text")).dropDuplicates(["h1", "h2"])
-    found = save(own_licences(texts).where(F.col("score") >= threshold))
+    keys = [F.when(body.isNotNull(), h).alias(k) for k, h in (("h1", F.xxhash64(body)), ("h2", F.xxhash64(F.lit("second"), body)))]
+    texts = files.where(body.rlike(cues(threshold))).select(*keys, body.alias("text")).dropDuplicates(["h1", "h2"])
+    found = save(own_licences(texts, threshold).where(F.col("score") >= threshold))
     rows = files.select(*(F.col(c).alias(place[c]) for c in kept), where.alias("at"), directory(where).alias("dir"), *keys).join(found, ["h1", "h2"], "left")
     rows = save(rows.withColumnsRenamed({"found": "own_licence", "score": "own_score"}).drop("h1", "h2"))
     speaker = rows.where(F.col("own_licence").isNotNull() & (F.col("at").rlike(LICENCE_FILE) | F.col("mostly")))
@@ -189,15 +232,17 @@ def inherit(rows: DataFrame, declared: DataFrame) -> DataFrame:
 
 def oracle(files: str, threshold: float = THRESHOLD) -> str:
     """DuckDB SQL of ``scan`` over a relation of (doc_id, path, text)."""
-    idf, templates = vectors()
+    idf, templates, cue = *vectors(), cues(threshold)
     words = ", ".join(f"('{w}', {i!r}::DOUBLE)" for w, i in idf.items())
     weights = ", ".join(f"({i}, '{k}', '{w}', {x!r}::DOUBLE)" for i, k, w, x in templates)
     own = "text, place, all_words, n_words"
     return f"""
 WITH idf(word, idf) AS (VALUES {words}), template(wording, licence, word, weight) AS (VALUES {weights}),
 f AS (SELECT doc_id, path, coalesce(path, '') AS place_of, text, CASE WHEN path LIKE '%/%' THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS dir FROM ({files})),
-t AS (SELECT DISTINCT text FROM f WHERE regexp_matches(text, '{HINT}')),
-p AS (SELECT text, unnest(list_distinct(list_concat(list_concat(regexp_extract_all(text, '{CUE}'), list_filter(string_split_regex(text, '{BLANK}'), lambda b: regexp_matches(b, '{HINT}'))), [text]))) AS place FROM t),
+t AS (SELECT DISTINCT text FROM f WHERE regexp_matches(text, '{cue}')),
+l AS (SELECT text, list_filter(string_split_regex(line, '[ \t\r]+'), lambda x: x <> '') AS line FROM (SELECT text, unnest(string_split(text, chr(10))) AS line FROM t)),
+p AS (SELECT DISTINCT text, place FROM (SELECT text, array_to_string(line[greatest(i - {BEFORE}, 1) : i + {BEHIND}], ' ') AS place FROM (SELECT text, line, unnest(range(1, len(line) + 1)) AS i FROM l) WHERE regexp_matches(line[i], '{cue}')
+  UNION ALL SELECT text, unnest(list_filter(string_split_regex(text, '{BLANK}'), lambda b: regexp_matches(b, '{cue}'))) FROM t UNION ALL SELECT text, text FROM t)),
 s AS (SELECT text, place, len(regexp_extract_all(lower(text), '{WORD}')) AS all_words, regexp_extract_all(lower(place), '{WORD}') AS w FROM p),
 w AS (SELECT text, place, all_words, len(w) AS n_words, unnest(w) AS word FROM s),
 c AS (SELECT {own}, word, any_value(idf) AS idf, count(*) AS n FROM w JOIN idf USING (word) GROUP BY {own}, word),

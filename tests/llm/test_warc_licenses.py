@@ -129,3 +129,31 @@ def test_clashing_columns(spark):
     rows = out.collect()
     assert out.columns[:8] == ["page_id", *names] and len(rows) == 2 and all(r[n] == "mine" for r in rows for n in names)
     assert {r.block for r in rows if r.record_type == "conversion"} == {"a"}
+
+
+def test_every_wording_is_found(spark):
+    """Each template's own text has a cosine of 1 with it, also behind prose and other words that speak of licences."""
+    files = [(f"t{i}/x", t, k) for i, (k, t) in enumerate(licenses.wordings())]
+    files += [(f"s{i}/x", f"the rights of kreel fishers, zorn by zorn, were kept\n\n1 {t}", k) for i, (k, t) in enumerate(licenses.wordings())]
+    rows = licenses.scan(spark.createDataFrame(files, "path string, text string, want string")).collect()
+    assert not [(r.path, r.want, r.own_licence, r.own_score) for r in rows if r.path[0] == "t" and r.own_score != 1.0]
+    assert not [(r.path, r.want, r.own_licence, r.own_score) for r in rows if r.own_licence is None]
+    assert licenses.scan(spark.createDataFrame([("a", "Distributed under the terms of the MIT"), ("b", "x\t GPL-3.0-only")], "path string, text string")).where("own_licence is null").isEmpty()
+
+
+def test_no_passage_without_a_cue_reaches_the_threshold():
+    for threshold in (licenses.THRESHOLD, 0.5):
+        cue, rest = licenses.cues(threshold), {}
+        for i, _, word, x in licenses.vectors()[1]:
+            if not re.search(cue, word.upper()):
+                rest[i] = rest.get(i, 0) + x * x
+        assert all(math.sqrt(x) < threshold for x in rest.values())
+
+
+def test_sql_on_odd_files(spark, tmp_path):
+    """The scan and its SQL, on texts that the tables do not have."""
+    texts = ["GNU GPL v3", "Mit.", "MIT", "mit und", "x\tDistributed  under the terms of the\tGPL-2.0-only\r\n\r\nplain", "CC BY 4.0", "", None, "\n\n\n", "É(c)MIT License" + " zorn" * 40, "LICENSE\n" * 50, "the rights to copyright, released: licensed under the Apache License, Version 2.0, the zorn " * 3]
+    files = spark.createDataFrame([(i, f"d{i % 3}/f{i}", t) for i, t in enumerate(texts * 2)], "doc_id long, path string, text string")
+    files.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    (part,) = (tmp_path / "documents.parquet").glob("*.parquet")
+    assert_same(licenses.scan(files), licenses.oracle(f"SELECT * FROM read_parquet('{part}')"), SF)
