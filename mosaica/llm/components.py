@@ -63,19 +63,34 @@ def state_of(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.min("part"), F.max("part")).first())
 
 
+def at_once(links: DataFrame) -> DataFrame:
+    """The stars of at most ``AT_ONCE`` links, in one task: their components."""
+    return save(links.select("a", "b").coalesce(1).mapInArrow(tidied(contract), LINK))
+
+
+def rooted(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(stars.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``links`` (a long, b long): ``root`` is the component's smallest node.
 
-    Each partition makes stars of its links.  If there are several, large-star and small-star steps follow in turn, and
-    stars again, until nothing changes: each step is a minimum by node and a join with it, so a node of any degree is
-    pre-aggregated or split, and all state is a written table.
+    Up to ``AT_ONCE`` links are one task's.  Of more, each partition makes stars of its links.  While these are more than
+    ``AT_ONCE``, large-star and small-star steps follow in turn, and stars again, until nothing changes: each step is a
+    minimum by node and a join with it, so a node of any degree is pre-aggregated or split, and all state is a written table.
     """
+    if links.count() <= AT_ONCE:
+        return rooted(at_once(links))
     pairs = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = save(pairs.mapInArrow(tidied(contract), LINK))
     seen = state_of(edges)
     for _ in range(rounds):
         if not seen[0] or seen[2] == seen[3] >= 0:  # all in one piece
             break
+        if seen[0] <= AT_ONCE:
+            whole = at_once(edges)
+            discard(edges)
+            return rooted(whole)
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = save(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
@@ -89,4 +104,4 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError("components did not settle")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+    return rooted(edges)

@@ -47,6 +47,8 @@ from mosaica.llm.hashing import grams, mix, signed, split_words
 
 #: Slots of the frequency table (a byte each, sent to every worker).
 SLOTS = 1 << 22
+#: Jobs that bring it to the driver at most.
+FETCHES = 8
 #: Shingles that a task counts at once.
 COUNTED = 2_000_000
 #: Largest set that may be enumerated.
@@ -214,7 +216,8 @@ def frequency_levels(nodes: DataFrame, width: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().astype("<u4").tobytes()], pa.binary()), pa.array([batch.column(1).to_numpy().astype(np.uint8).tobytes()], pa.binary())], ["slots", "levels"])
 
     table = np.zeros(SLOTS, np.uint8)
-    for r in slots.mapInArrow(tidied(pack), "slots binary, levels binary").toLocalIterator():  # five bytes a slot at most
+    # five bytes a slot at most; each partition is a job
+    for r in slots.coalesce(FETCHES).mapInArrow(tidied(pack), "slots binary, levels binary").toLocalIterator():
         table[np.frombuffer(r.slots, "<u4")] = np.frombuffer(r.levels, np.uint8)
     return table
 

@@ -160,3 +160,35 @@ def test_many_near_copies_that_do_not_all_link(make_docs, monkeypatch):
         root = low
     assert got == dict(enumerate(root.tolist()))
     assert 100 < len(set(root.tolist())) < 4900
+
+
+def jobs_of(spark, run):
+    jobs = spark.sparkContext._jsc.sc().dagScheduler()
+    before = jobs.numTotalJobs()
+    out = run()
+    return jobs.numTotalJobs() - before, out
+
+
+@pytest.fixture
+def many_partitions(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_few_links_take_few_jobs(spark, monkeypatch, many_partitions):
+    """A chain over many partitions is contracted at once, and so are the few stars of many links."""
+    chain = spark.createDataFrame([(i + 1, i) for i in random.Random(5).sample(range(400), 400)], "a long, b long").repartition(32)
+    jobs, rows = jobs_of(spark, lambda: components(chain).collect())
+    assert jobs <= 8 and sorted(map(tuple, rows)) == [(i, 0) for i in range(401)]
+    monkeypatch.setattr(components_module, "AT_ONCE", 60)
+    often = spark.createDataFrame([(i % 7, (i + 1) % 7) for i in range(100)], "a long, b long").repartition(5)
+    assert sorted(map(tuple, components(often).collect())) == [(i, 0) for i in range(7)]
+
+
+def test_levels_come_in_few_jobs(spark, many_partitions):
+    texts = spark.createDataFrame([(f"w{i % 50} b c d e w{i % 50} g",) for i in range(200)], "text string").repartition(3)
+    jobs, level = jobs_of(spark, lambda: jaccard.frequency_levels(texts, 4))
+    assert jobs <= 12 and level.max() == 7
