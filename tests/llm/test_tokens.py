@@ -1,5 +1,7 @@
 import hashlib
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -112,3 +114,25 @@ def test_very_long_text(spark, make_docs):
     got = {r.doc_id: r.ids for r in token_files.read_tokens(spark, path).collect()}
     assert got[1] == [*lib.encode(text, add_special_tokens=False).ids, END_ID]
     assert got[2] == [*lib.encode("x" * 200_000, add_special_tokens=False).ids, END_ID]
+
+
+def test_frequent_words_are_encoded_once(monkeypatch):
+    """A full table lets rare words go, not those that come back; ids are the library's."""
+    monkeypatch.setattr(token_files, "CACHE_WORDS", 400)
+    encoder, sent = token_files.CachedEncoder(public_tokenizers.path(WORD_BPE)), Counter()
+    whole = encoder._whole
+    words = encoder._words
+    monkeypatch.setattr(encoder, "_words", lambda new: sent.update(new) or words(new))
+    name = lambda n: "".join("abcdefghij"[int(d)] for d in str(n))
+    for k in range(40):
+        text = " ".join([f"often{name(i)}" for i in range(50)] + [f"rare{name(100 * k + i)}" for i in range(100)])
+        assert [*encoder.encode([text])] == whole([text])
+    assert {n for w, n in sent.items() if w.startswith("often")} == {1}
+
+
+def test_all_characters_of_a_byte(monkeypatch):
+    """Words go to the model alone, as the library would write them."""
+    encoder, rng = token_files.CachedEncoder(public_tokenizers.path(WORD_BPE)), random.Random(7)
+    assert encoder.model is not None
+    texts = ["".join(rng.choices([chr(c) for c in range(256)], k=rng.randrange(60))) for _ in range(3000)]
+    assert [*encoder.encode(texts)] == encoder._whole(texts)
