@@ -7,7 +7,8 @@ beam-search codes.  Training uses a sample (documented bound ``sample``), the ve
 vector is indexed: a beam search over all books picks its words, and its norm and that of its reconstruction are
 stored.  A query's table of inner products with all words gives an estimate for each code by look-ups, scaled by the
 stored norms; the ``rerank`` best of each list (of each block, where a list is long) are scored exactly in double
-precision.
+precision.  With each code goes a bound of its error, so that a row whose estimate and bound reach the last of these is
+scored exactly too: of the lists that are probed, nothing is missed, however close its rows lie.
 
 A query probes the lists whose coarse words have the largest inner products with it.  How many, is measured: for
 ``CALIBRATION`` queries the exact neighbours are found among all vectors in one pass, and the number of probes is the
@@ -167,8 +168,19 @@ def distinct_vectors(good: DataFrame, dims: int, most: int) -> DataFrame:
     return part.groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, most).alias("ids"))
 
 
+def facts(x: np.ndarray, made: Codebooks, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """(norm, norm of the reconstruction, bound) of each row: an estimate by look-ups is off by no more than the bound times the query's norm."""
+    back = made.decode(lists, codes)
+    norms = np.stack([np.linalg.norm(x, axis=1), np.linalg.norm(back.astype(np.float64), axis=1)], 1).astype("<f4")
+    scale = (norms[:, 0] / np.maximum(norms[:, 1], 1e-12)).astype(np.float64)
+    size = np.linalg.norm(made.coarse.astype(np.float64), axis=1)[lists] + sum(np.linalg.norm(b.astype(np.float64), axis=1)[codes[:, m]] for m, b in enumerate(made.words))
+    rounded = (x.shape[1] + 2 * len(made.words) + 8) * 2.0**-23 * scale * size  # by sums in single precision
+    off = np.linalg.norm(x - scale[:, None] * back, axis=1)
+    return np.concatenate([norms, ((off + rounded) * (1 + 1e-6)).astype("<f4")[:, None]], 1)
+
+
 def encoded(distinct: DataFrame, made: Codebooks) -> DataFrame:
-    """(list, h, v, ids, code): ``code`` holds both norms and the words of the residual books."""
+    """(list, h, v, ids, code): ``code`` holds both norms, the bound of the error and the words of the residual books."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,8 +188,7 @@ def encoded(distinct: DataFrame, made: Codebooks) -> DataFrame:
                 continue
             x = stacked(batch.column(0), "<f8")
             lists, codes = made.encode(x)
-            norms = np.stack([np.linalg.norm(x, axis=1), np.linalg.norm(made.decode(lists, codes), axis=1)], 1).astype("<f4")
-            raw = np.concatenate([norms.view(np.uint8).reshape(len(x), 8), codes], 1)
+            raw = np.concatenate([facts(x, made, lists, codes).view(np.uint8).reshape(len(x), 12), codes], 1)
             yield pa.RecordBatch.from_arrays([pa.array(lists), batch.column(2), batch.column(0), batch.column(1), pa.array([r.tobytes() for r in raw], pa.binary())], ["list", "h", "v", "ids", "code"])
 
     return distinct.select("v", "ids", F.xxhash64("v").alias("h")).mapInArrow(tidied(run), "list long, h long, v binary, ids array<long>, code binary")
@@ -188,45 +199,80 @@ def order_of_lists(query: np.ndarray, coarse: np.ndarray) -> np.ndarray:
     return np.argsort(-(query.astype(np.float32) @ coarse.T), axis=1, kind="stable")
 
 
+def first_of(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` largest scores, in order; ties by id."""
+    at = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k]) if k < len(score) else np.arange(len(score))
+    return at[np.lexsort((ids[at], -score[at]))[:k]]
+
+
 def probes_for(index: DataFrame, sample: np.ndarray, coarse: np.ndarray, k: int, recall: float) -> int:
     """The least number of lists that hold ``recall`` of the exact neighbours of the sampled queries."""
     n = len(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score, where = np.full((n, 0), -np.inf), np.zeros((n, 0), np.int64)
+        held = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))] * n
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lists, x = batch.column(0).to_numpy(), stacked(batch.column(1), "<f8")
+            lists, x, ids = batch.column(0).to_numpy(), stacked(batch.column(1), "<f8"), batch.column(2).to_numpy()
             for a in range(0, len(x), 4096):
-                score = np.concatenate([score, sample @ x[a : a + 4096].T], 1)
-                where = np.concatenate([where, np.broadcast_to(lists[a : a + 4096], (n, len(lists[a : a + 4096])))], 1)
-                keep = np.argsort(-score, axis=1, kind="stable")[:, : k + 1]
-                score, where = np.take_along_axis(score, keep, 1), np.take_along_axis(where, keep, 1)
-        times = score.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(n), times)), pa.array(score.ravel()), pa.array(np.ascontiguousarray(where).ravel())], ["q", "score", "list"])
-
-    per = index.select("list", "v").mapInArrow(tidied(run), "q long, score double, list long")
-    best = per.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "list"))), 1, k + 1).alias("best")).collect()
+                scores, own, where = sample @ x[a : a + 4096].T, ids[a : a + 4096], lists[a : a + 4096]
+                for q in range(n):
+                    new = first_of(scores[q], own, k + 1)
+                    score, other, at = (np.concatenate(pair) for pair in zip(held[q], (scores[q, new], own[new], where[new]), strict=True))
+                    keep = first_of(score, other, k + 1)
+                    held[q] = score[keep], other[keep], at[keep]
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(n), [len(h[0]) for h in held])), *map(pa.array, columns)], ["q", "score", "id", "list"])
+
+    per = index.select("list", "v", F.col("ids")[0]).mapInArrow(tidied(run), "q long, score double, id long, list long")
+    best = per.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id", "list"))), 1, k + 1).alias("best")).collect()
     place = np.argsort(order_of_lists(sample, coarse), axis=1)  # the turn in which a list is probed
     turns = np.sort(np.array([place[r.q, b["list"]] for r in best for b in r.best], np.int64))
     return int(turns[max(0, int(np.ceil(recall * len(turns))) - 1)]) + 1 if len(turns) else 1
 
 
-def best(query: np.ndarray, block: tuple, made: Codebooks, at: int, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(entries of each query, vec_ids, scores): the ``k`` best of a block, whose rows are in the order of their ids."""
-    vectors, ids, counts, norm, back, codes = block
-    low = query.astype(np.float32)
-    estimate = np.repeat((low @ made.coarse[at])[:, None], len(codes), 1)
-    for m, book in enumerate(made.words):
-        estimate += (low @ book.T).take(codes[:, m], axis=1)
-    estimate *= norm / np.maximum(back, 1e-12)
-    keep = min(rerank, len(codes))
-    top = np.argpartition(-estimate, keep - 1, axis=1)[:, :keep] if keep < len(codes) else np.broadcast_to(np.arange(len(codes)), (len(query), len(codes)))
+def exact_best(query: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, scores) of the ``k`` best rows for each query; equal scores: the smaller place first.
+
+    A matrix product picks candidates; where its rounding could hide one, all rows are scored singly.
+    """
+    k = min(k, len(vectors))
+    rough, keep = query @ vectors.T, min(k + 12, len(vectors))
+    top = np.argpartition(-rough, keep - 1, axis=1)[:, :keep] if keep < len(vectors) else np.broadcast_to(np.arange(keep), (len(query), keep))
     top = np.sort(top, axis=1)
     exact = np.einsum("qrd,qd->qr", vectors[top], query)
-    order = np.argsort(-exact, axis=1, kind="stable")[:, :k]  # equal scores: the smaller id first
-    top, exact = np.take_along_axis(top, order, 1), np.take_along_axis(exact, order, 1)
+    order = np.argsort(-exact, axis=1, kind="stable")[:, :k]
+    place, score = np.take_along_axis(top, order, 1), np.take_along_axis(exact, order, 1)
+    if keep < len(vectors):
+        slack = 1e-13 * np.sqrt((query * query).sum(1) * (vectors * vectors).sum(1).max())
+        for q in np.flatnonzero(~(score[:, -1] - np.take_along_axis(rough, top, 1).min(1) > slack)):
+            every = np.einsum("qrd,qd->qr", vectors[None], query[q : q + 1])[0]
+            place[q] = np.argsort(-every, kind="stable")[:k]
+            score[q] = every[place[q]]
+    return place, score
+
+
+def best(query: np.ndarray, block: tuple, made: Codebooks, at: int, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entries of each query, vec_ids, scores): the ``k`` best of a block, whose rows are in the order of their ids."""
+    vectors, ids, counts, norm, back, bound, codes = block
+    keep = max(rerank, k)
+    if keep < len(codes):
+        low = query.astype(np.float32)
+        estimate = np.repeat((low @ made.coarse[at])[:, None], len(codes), 1)
+        for m, book in enumerate(made.words):
+            estimate += (low @ book.T).take(codes[:, m], axis=1)
+        estimate *= norm / np.maximum(back, 1e-12)
+        some = np.argpartition(-estimate, keep - 1, axis=1)[:, :keep]
+        last = -np.partition(-np.einsum("qrd,qd->qr", vectors[some], query), k - 1, axis=1)[:, k - 1]
+        reach = np.linalg.norm(query, axis=1)[:, None] * bound + estimate
+        open_rows = ~(reach < last[:, None]).all(0)  # whatever an estimate cannot rule out
+        open_rows[some.ravel()] = True
+        rows = np.flatnonzero(open_rows)
+        top, exact = exact_best(query, vectors[rows] if len(rows) < len(vectors) else vectors, k)
+        top = rows[top]
+    else:
+        top, exact = exact_best(query, vectors, k)
     first = np.cumsum(counts) - counts
     if (counts[top] == 1).all():
         return np.full(len(query), top.shape[1]), ids[first[top]].ravel(), exact.ravel()
@@ -241,7 +287,7 @@ def best(query: np.ndarray, block: tuple, made: Codebooks, at: int, k: int, rera
     return np.array(size), np.concatenate(found), np.concatenate(scores)
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", books: int = 15, words: int = 256, sample: int = 32_768, rerank: int = 64, recall: float = 0.98) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", books: int = 15, words: int = 256, sample: int = 32_768, rerank: int = 64, recall: float = 0.99) -> DataFrame:
     """The ``k`` rows found nearest to each of ``queries`` (rows of the same table) by inner product."""
     spark = rows.sparkSession
     good, dims = usable(rows, vec_id, vector)
@@ -324,10 +370,10 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_
                     held = pa.Table.from_batches(waiting)
                     held = held.take(np.argsort(pc.list_element(held["ids"], 0).to_numpy(), kind="stable")).combine_chunks()
                     code = stacked(held["code"], np.uint8)
-                    norms = np.ascontiguousarray(code[:, :8]).view("<f4")
+                    norms = np.ascontiguousarray(code[:, :12]).view("<f4")
                     lists = held["ids"].combine_chunks()
                     counts = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-                    block = stacked(held["v"], "<f8"), lists.flatten().to_numpy(), counts, norms[:, 0], norms[:, 1], code[:, 8:]
+                    block = stacked(held["v"], "<f8"), lists.flatten().to_numpy(), counts, *norms.T, code[:, 12:]
                     at, waiting = int(held["id"][0].as_py()), []
                 for c in range(a, b, STEP):
                     part = batch.slice(c, min(STEP, b - c))

@@ -88,3 +88,23 @@ def test_many_vectors_in_any_partitioning(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert sum(again[k] != v for k, v in got.items()) <= 2  # sums of floats may differ in the last place
+
+
+@pytest.mark.parametrize("kind", ["close", "grid", "huge"])
+def test_other_rows(spark, kind):
+    """Clusters much closer than a code's error, small whole numbers with many ties, and squares beyond single precision: nothing near is missed."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(5, 64))
+    x = {
+        "close": lambda: centres[rng.integers(0, 5, 3000)] + 1e-6 * rng.normal(size=(3000, 64)),
+        "grid": lambda: rng.integers(-1, 2, size=(1500, 64)),
+        "huge": lambda: 1e25 * rng.normal(size=(1500, 64)),
+    }[kind]().astype(np.float32)
+    rows = list(enumerate(x.tolist()))
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.search(frame, frame.where(F.col("vec_id") % 20 == 0)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    scores = x.astype(np.float64)[::20] @ x.astype(np.float64).T
+    want = {20 * q: [int(j) for j in np.lexsort((np.arange(len(x)), -s)) if j != 20 * q][:20] for q, s in enumerate(scores)}
+    assert sum(len(set(got[q]) & set(w)) for q, w in want.items()) >= 0.99 * 20 * len(want)
