@@ -193,7 +193,10 @@ def build_index(spark, d, name: str) -> text.TextIndex:
 @query(f"WITH {_index('documents', 'doc_id', 'text')} SELECT count(*) AS postings, count(DISTINCT term) AS terms, count(DISTINCT doc_id) AS docs, round(sum(w / norm), 3) AS impact FROM w JOIN m USING (doc_id) WHERE norm > 0")
 def text_index_build(spark, d):
     """Writes an index anew and sums up what it holds."""
-    return build_index(spark, d, "documents").postings.agg(F.count("*").alias("postings"), F.countDistinct("term").alias("terms"), F.countDistinct("doc_id").alias("docs"), F.round(F.sum("impact"), 3).alias("impact"))
+    index = build_index(spark, d, "documents")
+    held = index.postings.where("doc_id IS NOT NULL").agg(F.count("*").alias("postings"), F.countDistinct("term").alias("terms"))
+    docs = index.norms.where("norm > 0").agg(F.count("doc_id").alias("docs"), F.round(F.sum(F.when(F.col("doc_id").isNotNull(), F.col("total") / F.col("norm"))), 3).alias("impact"))
+    return held.crossJoin(docs)
 
 
 @query(f"WITH {_index('documents', 'doc_id', 'text')} SELECT doc_id, round(norm, 6) AS norm FROM m")
